@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, fingerprints, token_counts, toxicity, url_filter
+from . import chat_format, fingerprints, pii, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_budget(table(spark, sf_dir, "documents"), limit=2048).withColumnRenamed("id", "doc_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op5_pii": op5_pii,
     "op6_url_filters": op6_url_filters,
     "op9_chat_formatting": op9_chat_formatting,
 }
