@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, fingerprints, near_dup, pii, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, fingerprints, licenses, mixing, near_dup, pii, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), domains, {"good": 0.82, "poor": 0.10, "toxic": 0.08}).withColumnRenamed("id", "doc_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
@@ -53,6 +58,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(rows.select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths; they get ``source/lang/hundred/id``."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", path).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dup": op2_near_dup,
@@ -60,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_pii": op5_pii,
     "op6_url_filters": op6_url_filters,
+    "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
