@@ -21,9 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_batches, pick, schema_of, stored
+from .common import map_batches, map_rows, pick, schema_of, stored
 
 BINS = 1024
 N_STATS = 9
@@ -152,16 +152,35 @@ def solve(rows: DataFrame, targets: list[float], most: float, rounds: int = 40,
     return best[1].tolist()
 
 
+def rated(rows: DataFrame, targets: dict[str, float], most: float) -> DataFrame:
+    """Rows with ``id``, ``n_tokens`` and ``posterior`` get ``rate`` and ``copies`` (the rate rounded up or down by a hash of the id, right on average)."""
+    rows = rows.withColumn("rate", rate_column(solve(rows, list(targets.values()), most), most))
+    draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+
+
 def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float = 4.0, sample: int = 10_000) -> DataFrame:
-    """``id``, ``n_tokens``, ``posterior``, ``rate``, ``copies`` (the rate rounded up or down by a hash of the id, right on average).
-    ``labels``: ``id``, ``domain``."""
+    """``id``, ``n_tokens``, ``posterior``, ``rate``, ``copies``. ``labels``: ``id``, ``domain``."""
     docs = pick(df, id_col, text_col)
-    domains = tuple(targets)
-    rows = stored(posteriors(docs, train(docs, labels, domains, sample)), "posteriors")
-    y = solve(rows, list(targets.values()), most)
-    rated = rows.withColumn("rate", rate_column(y, most))
-    draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return rated(stored(posteriors(docs, train(docs, labels, tuple(targets), sample)), "posteriors"), targets, most)
+
+
+def mix_rows(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float = 4.0, sample: int = 10_000) -> DataFrame:
+    """The rows themselves with ``rate`` and ``copies``; columns of these names that they had are replaced. The rates are solved on
+    posteriors stored without the texts; the posteriors of the rows are then made again beside their texts, so no join is needed."""
+    df = df.drop("rate", "copies")
+    docs = pick(df, id_col, text_col)
+    classifier = train(docs, labels, tuple(targets), sample)
+    y = solve(stored(posteriors(docs, classifier), "posteriors"), list(targets.values()), most)
+    at, key = df.columns.index(text_col), df.columns.index(id_col)
+
+    def one(*row):
+        _, bins, stats = text_features(row[at] or "")
+        rate = min(most, max(0.0, 1.0 + float(np.dot(classifier.posterior(bins, stats), y))))
+        draw = xxhash.xxh3_64_intdigest(f"copies {row[key]}") / 2.0**64
+        return *row, rate, int(rate) + int(draw < rate - int(rate))
+
+    return map_rows(df, one, T.StructType([*df.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())]))
 
 
 def quality_domains(labels: DataFrame, toxic: bool = True) -> DataFrame:

@@ -15,13 +15,12 @@ default accuracies. Labels that are null don't count, of several for an id the h
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_batches, pick, schema_of
+from .common import map_batches, map_rows, pick, schema_of
 
 # Insults and abuse, by language and kind.
 LEXICONS = {
@@ -170,23 +169,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds: int =
     return Model(who, logistic(x.astype(float), post), discount)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``id``, ``score``: of every whole text."""
+def scorer(model: Model):
+    """A function from a text to its score."""
     vocabulary = frozenset(model.who.vocabulary)
     index = {w: i for i, w in enumerate(model.who.vocabulary)}
     weights, tail, bias = model.weights, model.weights[len(index) : -1], model.weights[-1]
 
-    def run(batches: Iterator[list[list]]):
-        for ids, texts in batches:
-            out = []
-            for t in texts:
-                votes, held = look(t, model.who, vocabulary)
-                z = bias + float(np.dot(votes, tail)) + sum(weights[index[w]] for w in sorted(held))
-                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield [ids, out]
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, run, schema_of(f"id {kind}, score double"))
+    def one(text: str | None) -> float:
+        votes, held = look(text or "", model.who, vocabulary)
+        z = bias + float(np.dot(votes, tail)) + sum(weights[index[w]] for w in sorted(held))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return one
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``id``, ``score``: of every whole text."""
+    one = scorer(model)
+    return map_rows(docs, lambda key, text: (key, one(text)), schema_of(f"id {docs.schema['id'].dataType.simpleString()}, score double"))
+
+
+def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows themselves with a ``score``; one that they had is replaced."""
+    docs = docs.drop("score")
+    one, at = scorer(model), docs.columns.index(text_col)
+    return map_rows(docs, lambda *row: (*row, one(row[at])), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col) -> F.Column:
