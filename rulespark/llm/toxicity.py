@@ -6,10 +6,11 @@ explains; a voter's evidence is divided by one plus its correlations, so voters
 classifier over words and votes is trained on the model's posterior labels and scores whole texts.
 
 Some word lists are found from labelled training rows: the sample is cut into folds, and each fold's most telling words are a voter.
+Words of the fixed lists that these rows show to be ordinary words of the corpus leave their lists.
 The sample is bounded by ``sample`` rows (those with the lowest hash of the id); the vote matrix of the sample is what the driver gets.
 
-Rows: one per input row. Null and empty texts are scored by what no votes say. Without training rows only the fixed lists vote, with
-default accuracies. Labels that are null don't count, of several for an id the highest does. Other columns are ignored.
+Rows: one per input row. Null and empty texts are scored by what no votes say. Without training rows the
+classifier has its expected weights, from the fixed lists. Labels that are null don't count, of several for an id the highest does. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ LEXICONS = {
     "disgust": "disgusting disgrace disgraceful gross repulsive revolting vile sickening creep creepy pig pigs",
     "mockery": "clown clowns joke laughable ridiculous buffoon weirdo freak freaks crybaby snowflake",
     "swearing": "fuck fucking fucker fucked shit shitty bullshit asshole bastard bitch bitches dick prick cunt crap damn hell piss",
-    "threat": "kill killing die hang murder hurt beat destroy shoot stab rape",
+    "threat": "kill killing murder destroy shoot stab rape",
     "spanish": "idiota idiotas estúpido estúpida imbécil tonto tonta basura asqueroso asquerosa inútil perdedor payaso escoria mierda puta puto cabrón gilipollas pendejo",
     "french": "idiot idiote stupide imbécile crétin abruti débile minable pathétique dégoûtant déchet ordure clown merde connard connasse salope putain enculé",
     "german": "idiot dumm dummkopf blödmann trottel depp versager wertlos erbärmlich ekelhaft abschaum müll clown scheiße arschloch hurensohn wichser schlampe",
@@ -53,8 +54,8 @@ class Voters:
         return sorted(set().union(*(w for _, w in self.lists)))
 
 
-def voters(found: list[list[str]] = ()) -> Voters:
-    own = [(n, frozenset(w.split())) for n, w in LEXICONS.items()]
+def voters(found: list[list[str]] = (), dropped: frozenset = frozenset()) -> Voters:
+    own = [(n, frozenset(w.split()) - dropped) for n, w in LEXICONS.items()]
     return Voters(tuple(own + [(f"found{k}", frozenset(w)) for k, w in enumerate(found) if w]))
 
 
@@ -93,24 +94,33 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.n
             table[k] /= table[k].sum(1, keepdims=True)
         if step == rounds // 2 and n > 10:
             values = votes - (post[:, None] * (table[0] @ [-1, 0, 1]) + (1 - post)[:, None] * (table[1] @ [-1, 0, 1]))
-            scale = np.sqrt((values**2).mean(0)) + 1e-6
-            rho = np.abs((values / scale).T @ (values / scale) / n)
+            values -= values.mean(0)
+            values /= values.std(0) + 0.01  # a voter that doesn't vary correlates with none
+            rho = np.abs(values.T @ values / (n + 50))
             np.fill_diagonal(rho, 0)
             discount = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
         post = posterior(table)
     return post, discount
 
 
-def logistic(x: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Newton's method for a linear classifier on soft labels; the last weight is the intercept."""
+def expected_weights(who: Voters) -> np.ndarray:
+    """What the classifier's weights are drawn to where the sample says nothing: a fixed list's word speaks for toxic, a threat's less."""
+    fixed = dict(who.lists)
+    strong = set().union(*(fixed[k] for k in LEXICONS if k != "threat"))
+    words = [1.5 if w in strong else 0.5 if w in fixed["threat"] else 0.0 for w in who.vocabulary]
+    votes = [{"dense": 1.0, "none": 1.0}.get(n, 0.0) for n in who.names]
+    return np.array([*words, *votes, -2.5])
+
+
+def logistic(x: np.ndarray, soft: np.ndarray, expected: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Newton's method for a linear classifier on soft labels, its weights drawn to the expected ones; the last is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = expected.copy()
     penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        w -= np.linalg.solve(h, x.T @ (p - soft) + penalty * w)
+        w -= np.linalg.solve(h, x.T @ (p - soft) + penalty * (w - expected))
     return w
 
 
@@ -145,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds: int =
         strength = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("n") - F.col("toxic") + 0.5))
         best = counts.filter((F.col("fold") == fold) & (F.col("toxic") >= 5)).withColumn("z", strength).filter("z > 3").orderBy(F.desc("z"), "word").limit(words)
         found.append([r["word"] for r in best.collect()])
-    who = voters(found)
+    bad, good = (sum(n for (_, k), n in per_class.items() if k == label) for label in (1, 0))
+    listed = counts.filter(F.col("word").isin(*voters().vocabulary)).groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect()
+    # a listed word that the labelled rows know as an ordinary one here
+    who = voters(found, frozenset(r["word"] for r in listed if r["n"] >= 5 and r["toxic"] / r["n"] < min(0.5, 3 * bad / (bad + good))))
     vocabulary = frozenset(who.vocabulary)
     index = {w: i for i, w in enumerate(who.vocabulary)}
 
@@ -155,18 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds: int =
             yield [[v for v, _ in both], [sorted(index[w] for w in h) for _, h in both]]
 
     rows = map_batches(texts.select("id", "text", "label"), votes_of, schema_of("votes array<int>, held array<int>")).collect()
-    bad, good = (sum(n for (_, k), n in per_class.items() if k == label) for label in (1, 0))
     prior = min(0.5, max(0.01, (bad + 1) / (bad + good + 10)))
     votes = np.array([r["votes"] for r in rows], float).reshape(len(rows), len(who.names))
     post, discount = label_model(votes, prior)
-    if not len(rows):  # nothing to learn from: a listed word is toxic
-        weights = np.concatenate([np.full(len(index), 4.0), np.zeros(len(who.names)), [-2.0]])
-        return Model(who, weights, discount)
     x = np.zeros((len(rows), len(index) + len(who.names)), np.float32)
     for i, r in enumerate(rows):
         x[i, r["held"]] = 1
         x[i, len(index) :] = r["votes"]
-    return Model(who, logistic(x.astype(float), post), discount)
+    return Model(who, logistic(x.astype(float), post, expected_weights(who)), discount)
 
 
 def scorer(model: Model):
