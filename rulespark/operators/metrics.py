@@ -153,13 +153,14 @@ def batch_supports(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule]) ->
     return [got[i] for i in range(len(rules))]
 
 
-def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule]) -> list[tuple[int, int]]:
-    """Body size and PCA body size of each rule: bodies once, then those whose counted entity has any fact of the head's relation."""
+def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule], variables=None) -> list[tuple[int, int]]:
+    """Body size and PCA body size of each rule: bodies once, then those whose counted entity has any fact of the head's relation.
+    ``variables`` gives the variables of a rule whose bindings count; by default those of its head."""
     out: dict[int, tuple[int, int]] = {i: (0, 0) for i in range(len(rules))}
     groups: dict[tuple, list[int]] = defaultdict(list)
     for i, r in enumerate(rules):
         number = {v: n for n, v in enumerate(variables_of(a for a in r.body if plain(a.r) != DIFFERENT))}
-        kept = tuple(number[v] for v in r.head.variables)
+        kept = tuple(number[v] for v in (variables(r) if variables else r.head.variables))
         groups[shape_of(r.body), kept, number[r.counted_variable] if is_variable(r.counted_variable) else None, r.counted].append(i)
     domains = {0: kb.select("r", F.col("s").alias("e")).distinct(), 2: kb.select("r", F.col("o").alias("e")).distinct()}
     for (_, kept, at, counted), members in groups.items():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulespark.operators import metrics, miner, predict, schema, setops, stats
+from rulespark.operators import align, biases, metrics, miner, predict, schema, setops, stats
 from rulespark.plans import bgp
 from rulespark.plans.terms import Atom, parse_rule
 from rulespark.sources.derived import derived_kb, derived_other, derived_probabilistic, derived_schema
@@ -373,3 +373,38 @@ def _signature_statistics(spark: SparkSession, d: str) -> DataFrame:
 @register("domain_histogram", _KB + _META + " done AS (SELECT 1) SELECT deg, count(*) AS n FROM (SELECT m.s, count(kb.o) AS deg FROM (SELECT DISTINCT s FROM meta WHERE r = 'rdf:type' AND o = 'Customer') m LEFT JOIN kb ON kb.s = m.s AND kb.r = 'returned' GROUP BY m.s) GROUP BY deg")
 def _domain_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.domain_histogram(derived_kb(spark, d), "returned", schema.entities_of_type(derived_schema(spark, d), "Customer"))
+
+
+# --- further languages, alignment
+
+_TYPES = " t AS (SELECT DISTINCT s AS e, o AS type FROM meta WHERE r = 'rdf:type'),"
+
+
+@register("signature_rules", _KB + _META + _TYPES + " body AS (SELECT DISTINCT kb.r, t.type AS domain, kb.o AS e FROM kb JOIN t ON t.e = kb.s), h AS (SELECT r, domain, type AS range, count(*) AS support FROM body JOIN t USING (e) GROUP BY 1, 2, 3 HAVING count(*) >= 20), z AS (SELECT r, domain, count(*) AS body_size FROM body GROUP BY 1, 2) SELECT r, domain, range, support, body_size, support::DOUBLE / body_size AS std_confidence FROM h JOIN z USING (r, domain)")
+def _signature_rules(spark: SparkSession, d: str) -> DataFrame:
+    return biases.signature_rules(derived_kb(spark, d), derived_schema(spark, d), 20)
+
+
+@register("existential_heads", _KB + _META + _TYPES + " z AS (SELECT type, count(*) AS body_size FROM t GROUP BY 1), g AS (SELECT z.*, k.r, (SELECT count(*) FROM (SELECT DISTINCT s FROM kb WHERE kb.r = k.r) q JOIN t ON t.e = q.s AND t.type = z.type) AS n FROM z, (SELECT DISTINCT r FROM kb) k), u AS (SELECT type, false AS negated, r, n AS support, body_size FROM g UNION ALL SELECT type, true, r, body_size - n, body_size FROM g) SELECT type, negated, r, support, body_size, support::DOUBLE / body_size AS std_confidence FROM u WHERE support >= 20")
+def _existential_heads(spark: SparkSession, d: str) -> DataFrame:
+    return biases.existential_heads(derived_kb(spark, d), derived_schema(spark, d), 20)
+
+
+@register("link_rules", _KB + _META + _TYPES + " body AS (SELECT kb.s, kb.o, a.type AS domain, b.type AS range FROM kb JOIN t a ON a.e = kb.s JOIN t b ON b.e = kb.o WHERE kb.r = 'bought'), f AS (SELECT * FROM kb WHERE r <> 'bought'), sides AS (SELECT r, count(DISTINCT s) >= count(DISTINCT o) AS bs FROM f GROUP BY r), h AS (SELECT domain, range, f.r, count(*) AS support FROM body JOIN f ON f.s = body.s AND f.o = body.o GROUP BY 1, 2, 3 HAVING count(*) >= 1), x AS (SELECT h.domain, h.range, h.r, h.support, (SELECT count(*) FROM body b WHERE b.domain = h.domain AND b.range = h.range) AS body_size, (SELECT count(*) FROM body b WHERE b.domain = h.domain AND b.range = h.range AND CASE WHEN bs THEN b.s IN (SELECT s FROM f WHERE f.r = h.r) ELSE b.o IN (SELECT o FROM f WHERE f.r = h.r) END) AS pca_body_size FROM h JOIN sides ON sides.r = h.r) SELECT *, support::DOUBLE / pca_body_size AS pca_confidence FROM x")
+def _link_rules(spark: SparkSession, d: str) -> DataFrame:
+    return biases.link_rules(derived_kb(spark, d), derived_schema(spark, d), "bought", 1)
+
+
+@register("key_mining", _KB + " done AS (SELECT 1)" + " UNION ALL ".join(f" SELECT '{r}' AS key, (SELECT count(DISTINCT x) FROM (SELECT min(s) AS x FROM kb WHERE r = '{r}' GROUP BY o HAVING count(*) = 1)) AS support, (SELECT count(DISTINCT s) FROM kb WHERE r = '{r}') AS subjects, (SELECT count(DISTINCT x) FROM (SELECT min(s) AS x FROM kb WHERE r = '{r}' GROUP BY o HAVING count(*) = 1))::DOUBLE / (SELECT count(DISTINCT s) FROM kb WHERE r = '{r}') AS confidence" for r in ("inSegment", "inNation", "returned", "placedBy")))
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    return biases.keys(derived_kb(spark, d), ["inSegment", "inNation", "returned", "placedBy"], most=1)
+
+
+@register("align_equivalences", _KB + _OTHER + """ u AS (SELECT s, r, o, 0 AS k FROM kb UNION ALL SELECT s, r, o, 1 FROM other), b AS (SELECT r, s, o, k, false AS inv FROM u UNION ALL SELECT r, o, s, k, true FROM u),
+h AS (SELECT b.r AS body, u.r AS head, inv, count(*) AS support FROM u JOIN b ON u.s = b.s AND u.o = b.o AND u.k <> b.k GROUP BY 1, 2, 3 HAVING count(*) >= 10), f AS (SELECT r, count(DISTINCT s) >= count(DISTINCT o) AS bs FROM u GROUP BY r), n AS (SELECT r, count(*) AS n FROM u GROUP BY r),
+ds AS (SELECT DISTINCT r, s AS e FROM u), dn AS (SELECT DISTINCT r, o AS e FROM u),
+p AS (SELECT h.body, h.head, h.inv, count(*) FILTER (CASE WHEN bs THEN ds.e ELSE dn.e END IS NOT NULL) AS pca FROM h JOIN f ON f.r = h.head JOIN b ON b.r = h.body AND b.inv = h.inv LEFT JOIN ds ON ds.r = h.head AND ds.e = b.s LEFT JOIN dn ON dn.r = h.head AND dn.e = b.o GROUP BY 1, 2, 3),
+m AS (SELECT h.*, n.n AS size, support::DOUBLE / pca AS c FROM h JOIN p USING (body, head, inv) JOIN n ON n.r = h.body)
+SELECT x.body AS r1, x.head AS r2, x.inv AS inverse, x.support AS intersection, x.size + y.size - x.support AS union, x.support::DOUBLE / (x.size + y.size - x.support) AS jaccard, least(x.c, y.c) AS confidence FROM m x JOIN m y ON x.body = y.head AND x.head = y.body AND x.inv = y.inv WHERE x.body < x.head""")
+def _align(spark: SparkSession, d: str) -> DataFrame:
+    return align.equivalences(align.cross_rules(derived_kb(spark, d), derived_other(spark, d)))
