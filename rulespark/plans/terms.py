@@ -266,11 +266,17 @@ def _splits_alike(atoms: list[Atom]) -> bool:
     times = len(groups[0])
     for orders in product(*(permutations(g) for g in groups[1:])):
         parts = [tuple([groups[0][i], *(o[i] for o in orders)]) for i in range(times)]
-        if all(_shape(p) == _shape(parts[0]) for p in parts) and all(len(set(p)) == len(p) and _joined(p) for p in parts):
+        if all(_shape(p) == _shape(parts[0]) and _keeps_shared(p, parts[0]) for p in parts) and all(len(set(p)) == len(p) and _joined(p) for p in parts):
             return True
     return False
 
 
+def _keeps_shared(a: tuple[Atom, ...], b: tuple[Atom, ...]) -> bool:
+    """The renaming from one part to the other leaves the variables that both have alone."""
+    shared = set(variables_of(a)) & set(variables_of(b))
+    return all(x == y for p, q in zip(a, b) for x, y in zip((p.s, p.o), (q.s, q.o)) if x in shared or y in shared)
+
+
 def _joined(part: tuple[Atom, ...]) -> bool:
     seen, rest = set(part[0].variables), list(part[1:])
     while rest:
