@@ -44,6 +44,7 @@ def forget(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver's collector has found unused
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterable[list[list]]], schema: T.StructType) -> DataFrame:

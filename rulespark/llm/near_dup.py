@@ -9,13 +9,15 @@ shingle; without words the set is empty and linked with nothing. Documents are l
 3. Bands of compressed registers put classes into buckets. At a similarity of 0.8 a pair shares no bucket with a probability of 7e-7.
 4. In each bucket, all members are held against one hub: first by the share of equal registers, corrected for those equal by chance,
    then those within six deviations of the threshold on their full sets. Hubs with many members are split over tasks, which stream.
-   This is done twice, with different hubs, and gives most links; large groups of near copies become one component here.
-5. Buckets whose members still lie in different components are cut into blocks, and block is held against block by registers within
-   a task, which puts out only the pairs of different components that may be similar; they are verified on full sets as well. So no
-   link between components is lost, no pair within a component is needed, and no bucket is dropped or capped.
-
-Rows: one per input row, repeated ones included. Null text: empty. A row with a null id gets its class's links, but a null id is never a
-component's name unless there is no other. Rows that share an id are rows of their own. Other columns are ignored.
+   This is done twice, first with the member that meets most others in all its buckets, then with the one that meets fewest. It
+   gives most links; large groups of near copies become one component here.
+5. Buckets whose members still lie in different components are cut into blocks, and block is held against block within a task. A first
+   pass by registers puts out the members that may be similar to one of another component, a second pass on full sets the links
+   between those. A pair is looked at in the first band that it shares alone. So no link between components is lost, no pair
+   within a component is needed, no bucket is dropped or capped, and what is written are members and links, never all pairs.
+
+Rows: one per input row, repeated ones included. Null text: empty. A row with a null id gets the links of the rows with ids in its class, and a null id is never a
+component name unless there is no other. Rows that share an id are rows of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from .components import connected_components
 
 ROWS, BANDS = 5, 36
 MANTISSA = 10
-BLOCK = 128
+#: Members, and shingles, of a block at most, on average.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 MEMBERS = 256
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -158,15 +161,14 @@ def _sets_agree(percent: int):
 
 
 class _Linker:
-    def __init__(self, docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int, percent: int):
-        self.docs, self.sketched, self.classes, self.words, self.percent = docs, sketched, classes, words, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int):
+        self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
         self.links: list[DataFrame] = []
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of the pairs, on full sets made again from the texts of one document for each class in them."""
-        pairs = stored(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        one = self.sketched.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``class``, ``n``, ``data``: full sets, made again from the text of one document for each class."""
+        wanted = stored(wanted, "wanted")
+        one = self.classes.join(wanted, "class", "left_semi").select("id")
         words = self.words
 
         def run(batches: Iterator[list[list]]):
@@ -174,8 +176,15 @@ class _Linker:
                 sets = [shingle_set(t, words) for t in texts]
                 yield [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets]]
 
-        sets = map_batches(self.docs.join(one.select("id"), "id", "left_semi"), run, schema_of("class binary, n long, data binary"))
+        sets = map_batches(self.docs.join(one, "id", "left_semi"), run, schema_of("class binary, n long, data binary"))
         sets = stored(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
+        forget(wanted)
+        return sets
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs, on full sets."""
+        pairs = stored(pairs, "candidates")
+        sets = self.sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
         found = stored(_against_hubs(pairs, sets, _sets_agree(self.percent)), "links")
         forget(pairs)
         forget(sets)
@@ -190,58 +199,106 @@ class _Linker:
 
     def labelled(self, buckets: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
-        rows = buckets.join(self.components(), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component")) if self.links else buckets.withColumn("component", F.col("class"))
+        rows = buckets.withColumn("component", F.col("class"))
+        if self.links:
+            rows = buckets.join(self.components(), "class", "left").withColumn("component", F.coalesce("component", "class"))
         several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        return stored(rows.join(several, "key", "left_semi"), "open")
+        return stored(rows.select(*buckets.columns, "component").join(several, "key", "left_semi"), "open")
 
     def registers(self) -> DataFrame:
         return self.classes.select("class", "n", F.col("registers").alias("data"))
 
     def with_hubs(self, members: DataFrame, pick_hub) -> None:
-        hubs = members.groupBy("key").agg(pick_hub(F.struct("class", "component")).alias("h"))
+        hubs = members.groupBy("key").agg(pick_hub(F.struct("met", "class", "component")).alias("h"))
         pairs = members.join(hubs, "key").filter("h.component <> component").select(F.col("h.class").alias("a"), F.col("class").alias("b")).distinct()
         self.links.append(self.verified(_against_hubs(pairs, self.registers(), _registers_agree(self.percent))))
 
     def between_blocks(self, members: DataFrame) -> None:
-        sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        rows = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-        rows = rows.select("key", "class", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "component").join(self.registers(), "class")
-        rows = rows.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi")
-        rows = rows.select("key", "lo", "hi", "block", "class", "component", "n", "data")
-        percent, least = self.percent, _least_estimate(self.percent)
-
-        def pairs_of(group: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-            lo, hi = group[0][1:3]
-            left = [g for g in group if g[3] == lo]
-            right = [g for g in group if g[3] == hi] if hi != lo else left
-            if not right:
-                return
-            regs = np.array([np.frombuffer(g[7], np.uint16) for g in right])
-            n = np.array([g[6] for g in right])
-            for i, g in enumerate(left):
-                near = estimate((regs == np.frombuffer(g[7], np.uint16)).sum(1), g[6], n) >= least
-                near &= 100 * np.minimum(n, g[6]) >= percent * np.maximum(n, g[6])
-                for j in np.flatnonzero(near):
-                    if right[j][5] != g[5] and (hi != lo or i < j):
-                        yield min(g[4], right[j][4]), max(g[4], right[j][4])
+        sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        rows = members.join(self.registers().drop("n"), "class").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "class", "component", "n", F.col("data").alias("registers"))
+        may = stored(_block_by_block(rows, _may_link(self.percent), rows.schema), "maybe")
+        sets = self.sets(may.select("class").distinct())
+        links = _block_by_block(may.join(sets.select("class", "data"), "class").select(*may.columns, "data"), _links(self.percent), schema_of("a binary, b binary"))
+        self.links.append(stored(links.distinct(), "links"))
+        forget(may)
+        forget(sets)
 
-        def run(batches: Iterator[list[list]]):
-            group: list[tuple] = []
-            for cols in batches:
-                out = []
-                for row in zip(*cols):
-                    if group and row[:3] != group[0][:3]:
-                        out += pairs_of(group)
-                        group = []
-                    group.append(row)
-                if out:
-                    yield list(zip(*out))
-            if group and (out := list(pairs_of(group))):
+
+def _block_by_block(rows: DataFrame, of_group, schema) -> DataFrame:
+    """``of_group`` turns the rows of a block, or of two blocks, of a bucket into output rows."""
+    names = rows.columns
+    rows = rows.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi").select(*names)
+
+    def run(batches: Iterator[list[list]]):
+        group: list[tuple] = []
+        for cols in batches:
+            out = []
+            for row in zip(*cols):
+                if group and row[:3] != group[0][:3]:
+                    out += of_group(group)
+                    group = []
+                group.append(row)
+            if out:
                 yield list(zip(*out))
+        if group and (out := list(of_group(group))):
+            yield list(zip(*out))
 
-        found = map_batches(rows, run, schema_of("a binary, b binary")).distinct()
-        self.links.append(self.verified(found))
+    return map_batches(rows, run, schema)
+
+
+def _maybe_pairs(group: list[tuple], percent: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each left member with the right members of other components that may be similar and that meet it in this band first. Rows: key, lo,
+    hi, block, band, class, component, n, registers, ..."""
+    _, lo, hi, _, band = group[0][:5]
+    least = _least_estimate(percent)
+    left = [g for g in group if g[3] == lo]
+    right = [g for g in group if g[3] == hi] if hi != lo else left
+    if not right:
+        return
+    regs = np.array([np.frombuffer(g[8], np.uint16) for g in right])
+    n = np.array([g[7] for g in right])
+    names = {c: i for i, c in enumerate(dict.fromkeys(g[6] for g in group))}
+    component = np.array([names[g[6]] for g in right])
+    for i, g in enumerate(left):
+        at = component != names[g[6]]
+        if hi == lo:
+            at[: i + 1] = False
+        at = np.flatnonzero(at & (100 * np.minimum(n, g[7]) >= percent * np.maximum(n, g[7])))
+        if not len(at):
+            continue
+        equal = regs[at] == np.frombuffer(g[8], np.uint16)
+        near = estimate(equal.sum(1), g[7], n[at]) >= least
+        at, equal = at[near], equal[near]
+        if len(at):
+            bands = equal.reshape(len(at), BANDS, ROWS).all(2)
+            at = at[bands[:, band] & (bands.argmax(1) == band)]
+            if len(at):
+                yield g, [right[j] for j in at]
+
+
+def _may_link(percent: int):
+    def of_group(group):
+        found: dict[bytes, tuple] = {}
+        for g, others in _maybe_pairs(group, percent):
+            found[g[5]] = g
+            found |= {o[5]: o for o in others}
+        return found.values()
+
+    return of_group
+
+
+def _links(percent: int):
+    agree = _sets_agree(percent)
+
+    def of_group(group):
+        for g, others in _maybe_pairs(group, percent):
+            for o in others:
+                if agree(g[7], g[9], o[7], o[9]):
+                    yield min(g[5], o[5]), max(g[5], o[5])
+
+    return of_group
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -249,11 +306,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = pick(df, id_col, text_col)
     sketched = stored(_sketch(docs, words), "sketches")
     classes = stored(sketched.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select(F.explode("bands").alias("key"), "class")
-    shared = banded.groupBy("key").count().filter("count > 1").select("key")
-    buckets = stored(banded.join(shared, "key", "left_semi"), "buckets")
-    link = _Linker(docs, sketched, classes, words, percent)
-    for pick_hub in (F.min, F.max):
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "class", "n")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = stored(banded.join(shared, "key"), "buckets")
+    met = buckets.groupBy("class").agg(F.sum("size").alias("met"))
+    buckets = buckets.drop("size").join(met, "class")
+    link = _Linker(docs, classes, words, percent)
+    for pick_hub in (F.max, F.min):
         members = link.labelled(buckets)
         link.with_hubs(members, pick_hub)
         forget(members)
@@ -261,7 +320,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     link.between_blocks(members)
     components = link.components()
     forget(members)
-    forget(buckets)
     named = classes.select("class", "id").join(components, "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     names = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = stored(named.join(names, "component").select("class", "component_id"), "components")
