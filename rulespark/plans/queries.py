@@ -260,7 +260,7 @@ def _trained(spark: SparkSession, d: str, known: bool) -> tuple[DataFrame, DataF
     return predict.all_predictions(old, [parse_rule(r) for r in TRAINED], known), old, new
 
 
-@register("rule_hits", _KB + _OLD + _RULES + """ only AS (SELECT s, r, o, count(*) AS rules FROM hits GROUP BY 1, 2, 3), m AS (SELECT hits.*, rules, ta.s IS NOT NULL AS ta, tr.s IS NOT NULL AS tr FROM hits JOIN only USING (s, r, o) LEFT JOIN kb ta USING (s, r, o) LEFT JOIN old tr USING (s, r, o))
+@register("rule_hits", _KB + _OLD + _RULES + """ alone AS (SELECT s, r, o, count(*) AS rules FROM hits GROUP BY 1, 2, 3), m AS (SELECT hits.*, rules, ta.s IS NOT NULL AS ta, tr.s IS NOT NULL AS tr FROM hits JOIN alone USING (s, r, o) LEFT JOIN kb ta USING (s, r, o) LEFT JOIN old tr USING (s, r, o))
 SELECT rule, count(*) AS n, count(*) FILTER (ta) AS in_target, count(*) FILTER (tr) AS in_training, count(*) FILTER (ta AND NOT tr) AS in_target_only, count(*) FILTER (ta AND rules = 1) AS in_target_unique, count(*) FILTER (ta AND NOT tr AND rules = 1) AS in_target_only_unique FROM m GROUP BY rule""")
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     found, old, new = _trained(spark, d, True)
@@ -268,17 +268,17 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("evaluation_summary", _KB + _OLD + _RULES + """ p AS (SELECT * FROM hits ANTI JOIN old USING (s, r, o)), v AS (SELECT p.*, kb.s IS NOT NULL AS hit FROM p LEFT JOIN kb USING (s, r, o))
-SELECT rule, count(*) FILTER (hit) AS n_true, 0 AS n_false, count(*) FILTER (NOT hit) AS n_unknown FROM v GROUP BY rule""")
+SELECT rule, count(*) FILTER (hit) AS n_true, 0::BIGINT AS n_false, count(*) FILTER (NOT hit) AS n_unknown FROM v GROUP BY rule""")
 def _evaluation(spark: SparkSession, d: str) -> DataFrame:
     found, old, new = _trained(spark, d, False)
     return predict.evaluation_summary(predict.evaluate(found, old, new))
 
 
-@register("naive_confidence", _KB + _OLD + _RULES + " w(rule, c) AS (VALUES (0, 0.3::DOUBLE), (1, 0.9::DOUBLE), (2, 0.8::DOUBLE)) SELECT s, r, o, list_sort(list(rule)) AS rules, round(1 - product(1 - c), 9) AS naive FROM hits JOIN w USING (rule) GROUP BY 1, 2, 3")
+@register("naive_confidence", _KB + _OLD + _RULES + " w(rule, c) AS (VALUES (0, 0.3::DOUBLE), (1, 0.9::DOUBLE), (2, 0.8::DOUBLE)) SELECT s, r, o, string_agg(rule, ',' ORDER BY rule) AS rules, round(1 - product(1 - c), 9) AS naive FROM hits JOIN w USING (rule) GROUP BY 1, 2, 3")
 def _naive(spark: SparkSession, d: str) -> DataFrame:
     found, _, _ = _trained(spark, d, True)
     weights = spark.createDataFrame([(0, 0.3), (1, 0.9), (2, 0.8)], "rule int, confidence double")
-    return predict.joint_predictions(found, weights).withColumn("naive", F.round("naive", 9))
+    return predict.joint_predictions(found, weights).withColumns({"naive": F.round("naive", 9), "rules": F.array_join(F.col("rules").cast("array<string>"), ",")})
 
 
 @register("rule_body_report", _KB + _OLD + _RULES + " k AS (SELECT *, row_number() OVER (PARTITION BY s, r, o ORDER BY rule) AS k FROM hits) SELECT rule, count(*) AS n, count(*) FILTER (k = 1) AS n_new, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM k GROUP BY rule")
