@@ -114,13 +114,16 @@ def expected_weights(who: Voters) -> np.ndarray:
 
 def logistic(x: np.ndarray, soft: np.ndarray, expected: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Newton's method for a linear classifier on soft labels, its weights drawn to the expected ones; the last is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     w = expected.copy()
-    penalty = np.full(x.shape[1], ridge)
+    penalty = np.full(len(w), ridge)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        w -= np.linalg.solve(h, x.T @ (p - soft) + penalty * (w - expected))
+        h, g = np.diag(penalty), penalty * (w - expected)
+        for i in range(0, len(x), 1000):  # a part at a time, to keep the driver's memory small
+            part = np.hstack([x[i : i + 1000], np.ones((len(x[i : i + 1000]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h = h + (part * (p * (1 - p))[:, None]).T @ part
+            g = g + part.T @ (p - soft[i : i + 1000])
+        w -= np.linalg.solve(h, g)
     return w
 
 
@@ -171,11 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds: int =
     prior = min(0.5, max(0.01, (bad + 1) / (bad + good + 10)))
     votes = np.array([r["votes"] for r in rows], float).reshape(len(rows), len(who.names))
     post, discount = label_model(votes, prior)
-    x = np.zeros((len(rows), len(index) + len(who.names)), np.float32)
+    x = np.zeros((len(rows), len(index) + len(who.names)), np.int8)
     for i, r in enumerate(rows):
         x[i, r["held"]] = 1
         x[i, len(index) :] = r["votes"]
-    return Model(who, logistic(x.astype(float), post, expected_weights(who)), discount)
+    return Model(who, logistic(x, post, expected_weights(who)), discount)
 
 
 def scorer(model: Model):
