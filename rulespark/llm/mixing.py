@@ -79,7 +79,7 @@ def fit(rows: list[tuple[list[int], list[float], int]], domains: tuple[str, ...]
     x[:, -1] = 1
     y = np.eye(k, dtype=np.float32)[[r[2] for r in rows]]
     w, velocity = np.zeros((x.shape[1], k), np.float32), 0
-    rate = 4.0 / float((x**2).sum(1).mean())
+    rate = 4.0 / float(np.einsum("ij,ij->", x, x) / len(x))
     for _ in range(rounds):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
