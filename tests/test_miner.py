@@ -113,3 +113,14 @@ def test_batch_equals_single(spark):
     kb = spark.createDataFrame(WORKED, "s string, r string, o string")
     rules = [parse_rule("livesIn(?x,?y) => wasBornIn(?x,?y)"), parse_rule("wasBornIn(?x,?y) => livesIn(?x,?y)"), parse_rule("livesIn(?x,?z) livesIn(?y,?z) => wasBornIn(?x,?y)")]
     assert batch_supports(spark, kb, rules) == [support(kb, r) for r in rules]
+
+
+def test_registered_three_atom_query_mines_hubs(spark, monkeypatch):
+    from rulespark.plans import queries
+
+    facts = [(f"o{i}", r, f"{r}{i % 2}") for i in range(100) for r in ("hasStatus", "hasPriority")]
+    facts += [(f"{r}{k}", "near", f"{q}{k}") for r, q in (("hasStatus", "hasPriority"), ("hasPriority", "hasStatus")) for k in range(2)]
+    monkeypatch.setattr(queries, "derived_kb", lambda spark, d: spark.createDataFrame(facts, "s string, r string, o string"))
+    got = {r["rule"] for r in queries.QUERIES["mine_closed_rules_skyline"](spark, "").collect()}
+    assert any("hasStatus" in x.split("=>")[0] and x.split("=>")[0].count("?") == 4 for x in got)
+    assert {x.split("=>")[1].split()[1] for x in got} == {"hasStatus", "hasPriority"}
