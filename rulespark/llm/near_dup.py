@@ -97,7 +97,7 @@ def _least_estimate(percent: int) -> float:
 
 def _sketch(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[list[list]]):
-        for ids, texts in batches:
+        for ids, texts, rows in batches:
             n, digest, regs, bands = [], [], [], []
             for t in texts:
                 s = shingle_set(t, words)
@@ -111,10 +111,10 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
                     digest.append(None)
                     regs.append(None)
                     bands.append(None)
-            yield [ids, n, digest, regs, bands]
+            yield [ids, rows, n, digest, regs, bands]
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, run, schema_of(f"id {kind}, n long, class binary, registers binary, bands array<long>"))
+    return map_batches(docs, run, schema_of(f"id {kind}, row long, n long, class binary, registers binary, bands array<long>"))
 
 
 def _against_hubs(pairs: DataFrame, data: DataFrame, keep) -> DataFrame:
@@ -166,17 +166,18 @@ class _Linker:
         self.links: list[DataFrame] = []
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """``class``, ``n``, ``data``: full sets, made again from the text of one document for each class."""
+        """``class``, ``n``, ``data``: full sets, made again from the texts with the row key of one document for each class; texts of other
+        classes that bear it too are left out by their digest."""
         wanted = stored(wanted, "wanted")
-        one = self.classes.join(wanted, "class", "left_semi").select("id")
+        one = self.classes.join(wanted, "class", "left_semi").select("row")
         words = self.words
 
         def run(batches: Iterator[list[list]]):
-            for _, texts in batches:
+            for _, texts, _ in batches:
                 sets = [shingle_set(t, words) for t in texts]
                 yield [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets]]
 
-        sets = map_batches(self.docs.join(one, "id", "left_semi"), run, schema_of("class binary, n long, data binary"))
+        sets = map_batches(self.docs.join(one, "row", "left_semi").select("id", "text", "row"), run, schema_of("class binary, n long, data binary"))
         sets = stored(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
         forget(wanted)
         return sets
@@ -303,9 +304,9 @@ def _links(percent: int):
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (least id reachable), ``kept`` (the row bears that id)."""
-    docs = pick(df, id_col, text_col)
+    docs = pick(df, id_col, text_col).withColumn("row", F.xxhash64("id", "text"))  # never null, as ids may be
     sketched = stored(_sketch(docs, words), "sketches")
-    classes = stored(sketched.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
+    classes = stored(sketched.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
     banded = classes.select(F.posexplode("bands").alias("band", "key"), "class", "n")
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = stored(banded.join(shared, "key"), "buckets")

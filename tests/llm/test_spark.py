@@ -94,6 +94,19 @@ def test_near_duplicates_in_large_groups(spark):
     assert [got[i] for i, _ in rows] == want
 
 
+def test_near_copies_without_ids(spark):
+    base = [f"t{i}" for i in range(100)]
+    near = [*base[:50], "changed", *base[51:]]
+    apart = [f"u{i}" for i in range(100)]
+    rows = [(None, " ".join(base)), (None, " ".join(near)), (3, " ".join(apart)), (None, " ".join([*apart[:50], "changed", *apart[51:]])), (5, " ".join([*apart[:99], "other"]))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r["id"], r["component_id"]) for r in got], key=str) == sorted([(None, None), (None, None), (3, 3), (None, 3), (5, 3)], key=str)
+    # the ids of the pair without names: of structs, so that the link itself shows
+    named = spark.createDataFrame([(None, k, t) for k, (_, t) in enumerate(rows[:2])], "x long, k long, text string")
+    got = near_dup.near_duplicates(named.select(F.struct("x", "k").alias("doc_id"), "text")).collect()
+    assert [r["component_id"]["k"] for r in got] == [0, 0]
+
+
 def test_token_budget(docs, empty):
     from tokenizers import Tokenizer
 
