@@ -25,17 +25,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8, the document with the lowest id stays."""
-    found = near_dup.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked by five-word shingles at 0.8, one row stays: of those with the lowest id, or without any id, the one with the least
+    hash of all columns. Rows go by that hash, so of two rows that share an id each is judged by its own text. Rows without words all stay."""
+    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_more": F.xxhash64(F.lit(1), *docs.columns)})
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row", "_more").alias("doc_id"), "text")
+    gone = near_dup.near_duplicates(named).filter(~F.col("kept")).select("id._row", "id._more").distinct()
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^ \\t\\n\\r\\x0B\\f]")
+    kept = keyed.filter(worded).join(gone, ["_row", "_more"], "left_anti").dropDuplicates(["_row", "_more"])  # equal rows share a hash
+    return kept.select(*docs.columns).union(docs.filter(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
-    hits = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    gone = stored(hits.select(F.col("id").alias("doc_id")).distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents with a benchmark passage go, each row judged by its own text."""
+    return decontaminate.clean_rows(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

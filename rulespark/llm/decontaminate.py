@@ -158,19 +158,43 @@ class Items:
         return out
 
 
+def _passes(benchmark: DataFrame, item_col: str, item_text: str) -> list[list[tuple[int, str]]]:
+    """The items, ``PASS`` at a time; one empty pass without items."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    passed: list[list[tuple[int, str]]] = [[]]
+    for r in items.toLocalIterator():
+        if len(passed[-1]) == PASS:
+            passed.append([])
+        passed[-1].append((r["i"], r["t"]))
+    return passed
+
+
+def clean_rows(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2) -> DataFrame:
+    """The rows themselves that no item matches, each judged by its own text whatever its id."""
+    at = df.columns.index(text_col)
+    out = df
+    for own in _passes(benchmark, item_col, item_text):
+        known = Items(own, rate)
+
+        def run(batches: Iterator[list[list]], known=known):
+            for cols in batches:
+                texts = cols[at]
+                for a in range(0, len(texts), 500):
+                    bad = {m[0] for m in known.matches([word_hashes(t or "") for t in texts[a : a + 500]])}
+                    good = [a + i for i in range(len(texts[a : a + 500])) if i not in bad]
+                    if good:
+                        yield [[c[i] for i in good] for c in cols]
+
+        out = map_batches(out, run, df.schema)
+    return out
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2) -> DataFrame:
     """``id``, ``item_id``, ``edits``, ``item_words``, ``first_word``: the matches."""
     docs = pick(df, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
     out = None
     out_schema = schema_of(f"id {df.schema[id_col].dataType.simpleString()}, item_id long, edits int, item_words int, first_word long")
-    block, passed = [], []
-    for r in items.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == PASS:
-            passed.append(block)
-            block = []
-    for own in [*passed, block] if block or not passed else passed:
+    for own in _passes(benchmark, item_col, item_text):
         known = Items(own, rate)
 
         def run(batches: Iterator[list[list]], known=known):

@@ -217,3 +217,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert gone[:4] == [{3}, {1}, {2}, set()]
     kept = {r["doc_id"]: r for r in now.collect()}
     assert kept[4]["text"].endswith("mail [EMAIL]") and kept[4]["n_chars"] == len(kept[4]["text"]) and "rate" in now.columns
+
+
+def test_pipeline_drops_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    item = " ".join(f"item{i}" for i in range(25))
+    prose = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
+    same, twice, alone, nameless = prose(), prose(), prose(), prose()
+    rows = [(1, same), (2, same + " z"), (2, alone), (3, twice), (3, twice), (None, nameless), (None, nameless + " z"), (None, nameless), (4, ""), (4, ""), (None, None)]
+    schema = "doc_id long, text string"
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    texts_of = sorted((r["text"] for r in got if r["text"]), key=str)
+    assert texts_of in [sorted([same, alone, twice, x]) for x in (nameless, nameless + " z")]
+    assert len(got) == 7 and [r["doc_id"] for r in got].count(4) == 2
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, same + " " + item), (1, alone), (None, twice + " " + item), (None, nameless), (2, None)]
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, alone), (None, nameless), (2, None)], key=str)
