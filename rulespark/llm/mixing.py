@@ -4,18 +4,20 @@ A classifier trained on the labelled table gives each document a posterior over
 posterior into each domain. Rates r >= 0, the expected number of copies of each document, are sought for which the domains' token
 totals come close to the targets and which stay close to one: least squares ``|A r - T|^2``, by projected gradient with lazy
 projection. The gradient with respect to a document's rate is t times its posterior times the residual, and the steps add up, so all rates
-are ``min(most, max(0, 1 + posterior . y))`` for one vector y with an entry per domain. A step of y is one aggregation over the documents;
+are ``max(0, 1 + posterior . y)``, at most ``most`` if that is given, for one vector y with an entry per domain. A step of y is one aggregation over the documents;
 it is scaled by the inverse of the second moments of the documents that the bounds leave free.
 
 Classifier: multinomial logistic over hashed words and text statistics; it learns from ``sample`` labelled documents at most (those with
 the lowest hash of the id). Posteriors, totals and rates cover all documents, whole texts.
 
 Rows: one per input row. Null and empty texts have no tokens and the posterior of their features. Repeated ids are rows of their own.
-Without labels all domains are equally likely. Other columns are ignored. Targets that can't be met are approached as far as the bounds allow.
+Without labels all domains are equally likely. Other columns are ignored. Targets that can't be met are approached as far as the
+posteriors, and a ``most`` if given, allow; a warning then names what each domain misses.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ from .common import map_batches, map_rows, pick, schema_of, stored
 
 BINS = 1024
 N_STATS = 9
+#: A domain further from its target, as a share of all tokens, is reported.
+MISSED = 0.005
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
@@ -115,22 +119,24 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return map_batches(docs, run, schema_of(f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, posterior array<double>"))
 
 
-def rate_column(y: list[float], most: float) -> F.Column:
+def rate_column(y: list[float], most: float | None) -> F.Column:
     z = F.lit(1.0)
     for k, v in enumerate(y):
         z = z + F.col("posterior")[k] * F.lit(float(v))
-    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), z))
+    rate = F.greatest(F.lit(0.0), z)
+    return rate if most is None else F.least(F.lit(float(most)), rate)
 
 
-def solve(rows: DataFrame, targets: list[float], most: float, rounds: int = 40, close: float = 1e-4) -> list[float]:
-    """The vector y for shares ``targets`` of the documents' tokens. Each round collects one row of sums."""
+def solve(rows: DataFrame, targets: list[float], most: float | None = None, rounds: int = 40, close: float = 1e-4) -> tuple[list[float], list[float]]:
+    """The vector y for shares ``targets`` of the documents' tokens, and what each domain then has above its target as a share of
+    them (nothing without tokens). Each round collects one row of sums."""
     k = len(targets)
     want = np.array(targets) / sum(targets)
-    y, best, total = np.zeros(k), (np.inf, np.zeros(k)), None
+    y, best, total = np.zeros(k), (np.inf, np.zeros(k), np.zeros(0)), None
     step = 1.0
     for _ in range(rounds):
         rate = rate_column(y.tolist(), most)
-        free = ((rate > 0) & (rate < most)).cast("double")
+        free = (rate > 0 if most is None else (rate > 0) & (rate < most)).cast("double")
         p = [F.col("posterior")[i] for i in range(k)]
         sums = [F.sum(F.col("n_tokens") * rate * p[i]) for i in range(k)] + [F.sum(F.col("n_tokens") * free * p[i] * p[j]) for i in range(k) for j in range(k)]
         got = rows.agg(F.sum("n_tokens"), *sums).head()
@@ -141,7 +147,7 @@ def solve(rows: DataFrame, targets: list[float], most: float, rounds: int = 40,
         moments = np.array(got[k + 1 :], float).reshape(k, k) / total
         error = float(np.abs(residual).max())
         if error < best[0]:
-            best, step = (error, y), min(1.0, step * 1.5)
+            best, step = (error, y, residual), min(1.0, step * 1.5)
         else:
             y, step = best[1], step / 2
         if error < close or step < 1e-3:
@@ -149,34 +155,42 @@ def solve(rows: DataFrame, targets: list[float], most: float, rounds: int = 40,
         if error == best[0]:
             direction = np.linalg.solve(moments + 1e-3 * np.eye(k), residual)
         y = best[1] - step * direction
-    return best[1].tolist()
+    return best[1].tolist(), best[2].tolist()
 
 
-def rated(rows: DataFrame, targets: dict[str, float], most: float) -> DataFrame:
+def _solved(rows: DataFrame, targets: dict[str, float], most: float | None) -> list[float]:
+    y, residual = solve(rows, list(targets.values()), most)
+    if any(abs(x) > MISSED for x in residual):
+        warnings.warn("the mixture misses its targets, as shares of all tokens: " + ", ".join(f"{d} {x:+.4f}" for d, x in zip(targets, residual)), stacklevel=3)
+    return y
+
+
+def rated(rows: DataFrame, targets: dict[str, float], most: float | None = None) -> DataFrame:
     """Rows with ``id``, ``n_tokens`` and ``posterior`` get ``rate`` and ``copies`` (the rate rounded up or down by a hash of the id, right on average)."""
-    rows = rows.withColumn("rate", rate_column(solve(rows, list(targets.values()), most), most))
+    rows = rows.withColumn("rate", rate_column(_solved(rows, targets, most), most))
     draw = F.pmod(F.xxhash64("id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
-def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float = 4.0, sample: int = 10_000) -> DataFrame:
+def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None, sample: int = 10_000) -> DataFrame:
     """``id``, ``n_tokens``, ``posterior``, ``rate``, ``copies``. ``labels``: ``id``, ``domain``."""
     docs = pick(df, id_col, text_col)
     return rated(stored(posteriors(docs, train(docs, labels, tuple(targets), sample)), "posteriors"), targets, most)
 
 
-def mix_rows(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float = 4.0, sample: int = 10_000) -> DataFrame:
+def mix_rows(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None, sample: int = 10_000) -> DataFrame:
     """The rows themselves with ``rate`` and ``copies``; columns of these names that they had are replaced. The rates are solved on
     posteriors stored without the texts; the posteriors of the rows are then made again beside their texts, so no join is needed."""
     df = df.drop("rate", "copies")
     docs = pick(df, id_col, text_col)
     classifier = train(docs, labels, tuple(targets), sample)
-    y = solve(stored(posteriors(docs, classifier), "posteriors"), list(targets.values()), most)
+    y = _solved(stored(posteriors(docs, classifier), "posteriors"), targets, most)
     at, key = df.columns.index(text_col), df.columns.index(id_col)
 
     def one(*row):
         _, bins, stats = text_features(row[at] or "")
-        rate = min(most, max(0.0, 1.0 + float(np.dot(classifier.posterior(bins, stats), y))))
+        rate = max(0.0, 1.0 + float(np.dot(classifier.posterior(bins, stats), y)))
+        rate = rate if most is None else min(most, rate)
         draw = xxhash.xxh3_64_intdigest(f"copies {row[key]}") / 2.0**64
         return *row, rate, int(rate) + int(draw < rate - int(rate))
 

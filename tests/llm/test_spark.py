@@ -175,6 +175,19 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs, labels.limit(0), {"good": 0.8, "poor": 0.2}).count() == len(texts())
 
 
+def test_rare_domain_meets_its_target(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "prose"] if i % 60 else ["junk", "spam", "junk"]) + str(rng.randrange(5)) for _ in range(50))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "good" if i % 60 else "poor") for i in range(240)], "id long, domain string")
+    got = mixing.mix(df, labels, {"good": 0.8, "poor": 0.2}).collect()
+    total = [sum(r["n_tokens"] * r["rate"] * r["posterior"][k] for r in got) for k in (0, 1)]
+    assert abs(total[1] / sum(total) - 0.2) < 0.01 and max(r["rate"] for r in got) > 4
+    with pytest.warns(UserWarning, match="misses its targets"):
+        capped = mixing.mix(df, labels, {"good": 0.8, "poor": 0.2}, most=2.0).collect()
+    assert all(0 <= r["rate"] <= 2 for r in capped)
+
+
 def test_decontamination(spark, docs, empty):
     item = " ".join(f"word{i}" for i in range(30))
     changed = item.replace("word7 ", "other ").replace("word20 ", "")
