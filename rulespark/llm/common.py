@@ -70,6 +70,17 @@ def map_rows(df: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     return map_batches(df, run, schema)
 
 
+def filter_rows(df: DataFrame, keep: Callable[[object], bool], column: str) -> DataFrame:
+    """The rows, as they are, whose value in the column ``keep`` accepts."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([keep(v) for v in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id`` and ``text`` alone, so that no further column of ``df`` can clash; a null text counts as empty."""
     return df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

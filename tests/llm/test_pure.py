@@ -159,11 +159,61 @@ def test_license_notices():
     assert known.notices("")[0] is None
 
 
+def all_asked(votes):
+    return np.ones(votes.shape, bool)
+
+
 def test_label_model_trusts_voters_that_agree():
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.2
     votes = np.stack([np.where(y & (rng.random(2000) < a), 1, np.where(rng.random(2000) < 0.5, -1, 0) * ~y) for a in (0.9, 0.8, 0.7, 0.7)], 1).astype(float)
-    post, discount = toxicity.label_model(votes, 0.2)
+    post, discount = toxicity.label_model(votes, all_asked(votes), y.astype(float), 0.2)
     assert ((post > 0.5) == y).mean() > 0.95
-    doubled, less = toxicity.label_model(np.hstack([votes, votes[:, :1]]), 0.2)
+    doubled = np.hstack([votes, votes[:, :1]])
+    _, less = toxicity.label_model(doubled, all_asked(doubled), y.astype(float), 0.2)
     assert less[0] < discount[0] + 1e-9
+
+
+def test_label_model_gives_each_pattern_its_posterior():
+    """Three independent voters of known accuracies: the posterior of each of the 27 patterns by Bayes' rule over both labels."""
+    table = np.array([[[0.1, 0.2, 0.7], [0.2, 0.3, 0.5], [0.1, 0.5, 0.4]], [[0.7, 0.25, 0.05], [0.6, 0.3, 0.1], [0.5, 0.45, 0.05]]])
+    rng, n, prior = np.random.default_rng(2), 60_000, 0.3
+    y = rng.random(n) < prior
+    votes = np.stack([np.where(y, rng.choice([-1, 0, 1], n, p=table[0, k]), rng.choice([-1, 0, 1], n, p=table[1, k])) for k in range(3)], 1).astype(float)
+    flipped = np.where(rng.random(n) < 0.02, ~y, y).astype(float)  # marks with mistakes
+    post, _ = toxicity.label_model(votes, all_asked(votes), flipped, prior)
+    for pattern in np.ndindex(3, 3, 3):
+        rows = (votes == np.array(pattern) - 1).all(1)
+        weight = [q * np.prod([table[k, m, v] for m, v in enumerate(pattern)]) for k, q in ((0, prior), (1, 1 - prior))]
+        if rows.any():
+            assert abs(post[rows].mean() - weight[0] / sum(weight)) < 0.06
+
+
+def test_label_model_does_not_drift_with_the_rows():
+    rng = np.random.default_rng(3)
+    y = rng.random(1000) < 0.1
+    votes = np.stack([np.where(rng.random(1000) < 0.02, 1, np.where(y & (rng.random(1000) < 0.8), 1, 0)) for _ in range(4)], 1).astype(float)
+    few, _ = toxicity.label_model(votes, all_asked(votes), y.astype(float), 0.1)
+    many = np.repeat(votes, 40, 0)
+    post, _ = toxicity.label_model(many, all_asked(many), np.repeat(y, 40).astype(float), 0.1)
+    assert np.abs(post[::40] - few).max() < 0.05  # the smoothing of the few rows alone
+
+
+@pytest.mark.parametrize("n", [0, 3_000, 20_000, 40_000])
+def test_classifier_converges_at_every_size(n):
+    rng = np.random.default_rng(4)
+    x = (rng.random((n, 30)) < 0.1).astype(np.int8)
+    soft = x[:, 0].astype(float)  # separable: plain Newton steps run away
+    expected = np.zeros(31)
+    w = toxicity.logistic(x, soft, expected)
+    ones = np.hstack([x, np.ones((n, 1))])
+    gradient = ones.T @ (1 / (1 + np.exp(-ones @ w)) - soft) + (w - expected)
+    assert np.abs(gradient).max() <= 1e-5 * (n + 1)
+    assert n == 0 or (((ones @ w) > 0) == (soft > 0.5)).all()
+
+
+def test_cover_takes_the_telling_terms():
+    rows = [(1, ["=bad", "^noisy"])] * 40 + [(0, ["^noisy"])] * 50 + [(1, ["^worse"])] * 20 + [(0, ["^worse", "=x"])] * 2
+    assert toxicity.cover(rows, 60, 1000, 10.0, 40) == ["=bad", "^worse"]
+    assert toxicity.cover([], 0, 0, 10.0, 40) == []
+    assert toxicity.telling(0, 5, 10, 100) == toxicity.telling(1, 20, 10, 100) == 0

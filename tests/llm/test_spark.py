@@ -137,6 +137,34 @@ def test_labels_of_held_out_rows_change_nothing(spark, docs):
     assert a == b
 
 
+@pytest.mark.parametrize("n", [3_000, 20_000, 40_000])
+def test_toxicity_at_growing_sizes(spark, n):
+    """A third of the rows are copies under other ids, one copied thousands of times; insults in no list; marks with mistakes."""
+    rng = random.Random(n)
+    insults = ["grobbelnit", "stupid", "worthless", *(f"vrekkol{x}" for x in ("a", "em", "ista", "or", "und"))]
+    own = []
+    for i in range(2 * n // 3):
+        words = [rng.choice(WORDS) + rng.choice(["", "a", "b"]) for _ in range(25)]
+        toxic = rng.random() < 0.11
+        if toxic:
+            words[rng.randrange(25)] = rng.choice(insults)
+        own.append((" ".join(words), int(toxic), int(toxic) if rng.random() > 0.02 else int(not toxic)))
+    rows = own + [rng.choice(own) for _ in range(n // 6)] + [own[0]] * (n - len(own) - n // 6)
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, m) for i, _, _, m in rows], "doc_id long, toxic int")
+    got = {r["id"]: r for r in toxicity.toxicity(docs, labels, sample=n).collect()}
+    true = {i: y for i, _, y, _ in rows}
+    held = [i for i, r in got.items() if r["held_out"] and rows[i][1] != own[0][0]]
+    caught = [got[i]["predicted"] for i in held if true[i]]
+    clean = [1 - got[i]["predicted"] for i in held if not true[i]]
+    assert sum(caught) > 0.95 * len(caught) and sum(clean) > 0.98 * len(clean)
+    assert abs(sum(got[i]["predicted"] for i in held) - sum(true[i] for i in held)) < 0.02 * len(held)
+    if n == 3_000:  # the same in another order of rows
+        again = {r["id"]: r["predicted"] for r in toxicity.toxicity(docs.repartition(7, "text"), labels.repartition(5), sample=n).collect()}
+        assert again == {i: r["predicted"] for i, r in got.items()}
+
+
 def test_personal_data(spark, docs, empty):
     rows = [(1, "mail a@b.org and a@b.org"), (2, None), (3, ""), (4, "call +1 (017) 555-7713"), (5, "no data"), (5, "10.0.0.1, 4539578763621486")]
     got = {(r["id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
