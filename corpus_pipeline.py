@@ -17,11 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go. Scored with the text in hand, so repeated ids are judged each by its own text."""
+    """Rows whose text scores 0.5 or more go; each row is judged by its own text, whatever its id. Null and empty texts score low and stay,
+    repeated rows share their fate, an empty table stays empty, and all columns, clashing names too, stay as they are."""
     known = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
     named = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model = toxicity.train(named, known.filter(~toxicity.held_out(F.col("id"))))
-    return toxicity.score_rows(docs, model).filter("score < 0.5").drop("score")
+    return toxicity.clean_rows(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
