@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulespark.plans.bgp import compile_query, name
-from rulespark.plans.terms import DIFFERENT, Atom, Rule, is_variable, pca_query, plain, variables_of
+from rulespark.plans.terms import DIFFERENT, Atom, Rule, is_variable, pca_query, plain, variables_of, without_redundant
 
 #: Rules in one parameter table; it is sent to all tasks, so this is its size bound.
 BATCH = 20_000
@@ -149,10 +149,72 @@ def batch_counts(spark: SparkSession, kb: DataFrame, queries: Sequence[tuple[int
 
 
 def batch_supports(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule]) -> list[int]:
-    got = batch_counts(spark, kb, [(i, r.atoms, r.head.variables) for i, r in enumerate(rules)])
+    got = batch_counts(spark, kb, [(i, without_redundant(r.atoms, r.head.variables), r.head.variables) for i, r in enumerate(rules)])
     return [got[i] for i in range(len(rules))]
 
 
+# --- rules of three variables: labelled edges
+
+
+def labelled_edges(kb: DataFrame) -> DataFrame:
+    """``l``, ``a``, ``b``: each fact from both its ends, as relation with ``+`` from subject to object and with ``-`` back."""
+    return kb.select(F.concat("r", F.lit("+")).alias("l"), F.col("s").alias("a"), F.col("o").alias("b")).unionAll(kb.select(F.concat("r", F.lit("-")), F.col("o"), F.col("s")))
+
+
+def label(atom: Atom, start: str) -> str:
+    return atom.r + ("+" if atom.s == start else "-")
+
+
+def triangle_counts(kb: DataFrame, relations: Sequence[str]) -> DataFrame:
+    """``head``, ``lx``, ``ly``, ``n``: for each head relation and pair of labels the head facts (x, y) with an entity z that x reaches by ``lx`` and
+    y by ``ly``. One plan for all: a head fact looks for z from whichever of its ends has fewer facts, so hubs are never expanded."""
+    edges = labelled_edges(kb)
+    degree = edges.groupBy("a").agg(F.count("*").alias("deg"))
+    pairs = edges.groupBy("a", "b").agg(F.collect_set("l").alias("ls"))
+    heads = kb.filter(F.col("r").isin(*relations)).groupBy(F.col("s").alias("x"), F.col("o").alias("y")).agg(F.collect_set("r").alias("heads"))
+    sized = heads.join(degree.select(F.col("a").alias("x"), F.col("deg").alias("dx")), "x").join(degree.select(F.col("a").alias("y"), F.col("deg").alias("dy")), "y")
+    near = lambda c, out: pairs.select(F.col("a").alias(c), F.col("b").alias("z"), F.col("ls").alias(out))
+    parts = []
+    for first, second, keep in (("x", "y", F.col("dx") <= F.col("dy")), ("y", "x", F.col("dx") > F.col("dy"))):
+        rows = sized.filter(keep).join(near(first, f"l{first}"), first).join(near(second, f"l{second}"), [second, "z"])
+        parts.append(rows.select("x", "y", "heads", "lx", "ly"))
+    rows = parts[0].unionAll(parts[1]).select("x", "y", "heads", F.explode("lx").alias("lx"), "ly").select("x", "y", "heads", "lx", F.explode("ly").alias("ly"))
+    return rows.groupBy("x", "y", "lx", "ly").agg(F.first("heads").alias("heads")).select(F.explode("heads").alias("head"), "lx", "ly").groupBy("head", "lx", "ly").agg(F.count("*").alias("n"))
+
+
+def path_of(rule: Rule) -> tuple[str, str] | None:
+    """The labels of a two-atom body from the counted variable over a third one to the other; None for other rules."""
+    if len(rule.body) != 2 or len(rule.variables) != 3 or not all(map(is_variable, (rule.head.s, rule.head.o))) or rule.head.s == rule.head.o:
+        return None
+    start, end = (rule.head.s, rule.head.o) if rule.counted == 0 else (rule.head.o, rule.head.s)
+    for one, two in (rule.body, rule.body[::-1]):
+        mid = [v for v in (one.s, one.o) if v != start]
+        if one.special or two.special or len(mid) != 1 or not is_variable(mid[0]) or start not in (one.s, one.o):
+            continue
+        if {two.s, two.o} == {mid[0], end} and mid[0] != end:
+            return label(one, start), label(two, mid[0])
+    return None
+
+
+def path_bounds(spark: SparkSession, kb: DataFrame, rules: Sequence[tuple[int, Rule]]) -> dict[int, tuple[int, int, int, int]]:
+    """For path rules: bounds (lowest, highest) of the body size and of the PCA body size, from fan-outs alone. An entity reaches no fewer others than
+    over the best of its middles and no more than over all of them; the two agree where each entity has one middle."""
+    paths = {i: path_of(r) for i, r in rules}
+    wanted = spark.createDataFrame([(i, *paths[i], r.head.r, r.counted) for i, r in rules], "rid long, l1 string, l2 string, h string, counted int")
+    pairs = wanted.select("l1", "l2").distinct()
+    edges = labelled_edges(kb)
+    fan = edges.groupBy(F.col("l").alias("l2"), F.col("a").alias("z")).agg(F.count("*").alias("d"))
+    fan = fan.join(F.broadcast(pairs), "l2")  # at most BATCH rows
+    first = edges.select(F.col("l").alias("l1"), F.col("a").alias("u"), F.col("b").alias("z"))
+    reach = first.join(fan, ["l1", "z"]).groupBy("l1", "l2", "u").agg(F.max("d").alias("low"), F.sum("d").alias("high"))
+    total = reach.groupBy("l1", "l2").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    own = kb.select(F.lit(0).alias("counted"), F.col("r").alias("h"), F.col("s").alias("u")).union(kb.select(F.lit(2), "r", "o")).distinct()
+    heads = wanted.select("l1", "l2", "h", "counted").distinct()
+    pca = reach.join(F.broadcast(heads), ["l1", "l2"]).join(own, ["h", "counted", "u"], "left_semi").groupBy("l1", "l2", "h", "counted").agg(F.sum("low").alias("pca_low"), F.sum("high").alias("pca_high"))
+    rows = wanted.join(total, ["l1", "l2"], "left").join(pca, ["l1", "l2", "h", "counted"], "left").fillna(0, ["low", "high", "pca_low", "pca_high"])
+    return {r["rid"]: (r["low"], r["high"], r["pca_low"], r["pca_high"]) for r in rows.collect()}
+
+
 def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule], variables=None) -> list[tuple[int, int]]:
     """Body size and PCA body size of each rule: bodies once, then those whose counted entity has any fact of the head's relation.
     ``variables`` gives the variables of a rule whose bindings count; by default those of its head."""

@@ -240,22 +240,39 @@ def subsumes(general: Rule, special: Rule) -> bool:
     return any(canonical_key((special.head, *part)) == key for part in combinations(special.body, len(general.body)))
 
 
+def without_redundant(atoms: Iterable[Atom], kept: Iterable[str]) -> list[Atom]:
+    """The atoms without those that say nothing: of r(x,z) and r(y,z), or r(z,x) and r(z,y), one goes if its own variable is in no other atom
+    and isn't kept. Counts and bindings of the kept variables stay the same."""
+    atoms, kept = list(atoms), set(kept)
+    again = True
+    while again:
+        again = False
+        times = Counter(v for a in atoms for v in a.variables)
+        for a, b in permutations(atoms, 2):
+            if a.special or a.r != b.r or a == b and len(atoms) == 1:
+                continue
+            for own, other, shared, same in ((a.s, b.s, a.o, b.o), (a.o, b.o, a.s, b.s)):
+                if shared == same and is_variable(own) and own != shared and (times[own] == 1 or own == other) and (own not in kept or own == other):
+                    atoms.remove(a)
+                    again = True
+                    break
+            if again:
+                break
+    return atoms
+
+
 def redundant_subgraph(rule: Rule) -> bool:
-    """Four or more atoms, an even number, each relation exactly twice, such that the two halves that a choice of one atom for each
-    relation makes are the same graph over shared variables."""
+    """A closed rule of four or more atoms, an even number, with each relation exactly twice."""
     atoms = [a for a in rule.atoms if plain(a.r) != DIFFERENT]
-    by = Counter(a.r for a in atoms)
-    if len(atoms) < 4 or len(atoms) % 2 or set(by.values()) != {2}:
-        return False
-    return _splits_alike(atoms)
+    return rule.closed and len(atoms) >= 4 and len(atoms) % 2 == 0 and set(Counter(a.r for a in atoms).values()) == {2}
 
 
 def disallowed_diamond(atoms: Iterable[Atom]) -> bool:
-    """Whether the query is one pattern of two relations said twice or more: an even number of atoms which fall into pairs that are alike
-    up to a renaming of their variables."""
+    """Whether the query is one pattern of two relations said twice or more: closed, an even number of atoms of just two relations, which fall
+    into pairs that are alike up to a renaming of their variables."""
     atoms = list(atoms)
     by = Counter(a.r for a in atoms)
-    if len(atoms) < 4 or len(atoms) % 2 or len(set(by.values())) != 1:
+    if len(atoms) < 4 or len(atoms) % 2 or len(by) != 2 or len(set(by.values())) != 1 or not Rule(atoms[0], tuple(atoms[1:])).closed:
         return False
     return _splits_alike(atoms)
 
