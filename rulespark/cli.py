@@ -6,10 +6,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from rulespark.operators.miner import Config, Miner, header, report_line
+from rulespark.operators.miner import OPERATORS, Config, Miner, bias_class, header, report_line
 from rulespark.operators.stats import summary
 from rulespark.plans import bgp
-from rulespark.sources.readers import read_facts
+from rulespark.sources.readers import LOADERS, load_kb
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,32 +31,44 @@ def parser() -> argparse.ArgumentParser:
     mine.add_argument("--omit-std", action="store_true")
     mine.add_argument("--refine-perfect", action="store_true", help="refine rules of confidence 1 too")
     mine.add_argument("--refine-all-lengths", action="store_true", help="without the pruning by length, which loses nothing")
+    mine.add_argument("--functionality-heuristic", action="store_true", help="drop path rules by their estimated confidence")
+    mine.add_argument("--skyline-on", choices=["pca", "std"], default="pca")
+    mine.add_argument("--operators", default=",".join(OPERATORS), help="refinement operators, separated by commas")
+    mine.add_argument("--bias", default="rulespark.operators.miner:Miner", help="a miner of one's own, module:Class")
     mine.add_argument("--datalog", action="store_true")
+    mine.add_argument("--verbose", action="store_true", help="with bounds and estimates")
+    mine.add_argument("--at-the-end", action="store_true", help="print no rule before the last is found")
     for name in ("head-targets", "head-excluded", "body-targets", "body-excluded"):
         mine.add_argument(f"--{name}", default="", help="relations, separated by commas")
     query = sub.add_parser("query")
     query.add_argument("variables")
     query.add_argument("atoms")
     for s in (mine, query, sub.add_parser("stats")):
+        s.add_argument("--cores", default="*", help="threads on one machine")
+        s.add_argument("--kind", choices=[*LOADERS, "index"], default="facts")
         s.add_argument("files", nargs="+")
     return p
 
 
 def config_of(args: argparse.Namespace) -> Config:
     listed = {n: frozenset(filter(None, getattr(args, n).split(","))) for n in ("head_targets", "head_excluded", "body_targets", "body_excluded")}
-    same = ("max_atoms", "min_support", "min_head_coverage", "prune_by", "min_std_confidence", "min_pca_confidence", "constants", "only_constants", "recursivity", "one_variable", "count_subject", "omit_std")
+    same = ("max_atoms", "min_support", "min_head_coverage", "prune_by", "min_std_confidence", "min_pca_confidence", "constants", "only_constants", "recursivity", "one_variable", "count_subject", "omit_std", "functionality_heuristic", "skyline_on")
     least = args.min_support if args.prune_by == "support" else args.min_head_size
-    return Config(**{n: getattr(args, n) for n in same}, **listed, min_head_size=least, stop_at_perfect=not args.refine_perfect, use_max_length=not args.refine_all_lengths)
+    return Config(**{n: getattr(args, n) for n in same}, **listed, min_head_size=least, operators=tuple(filter(None, args.operators.split(","))), stop_at_perfect=not args.refine_perfect, use_max_length=not args.refine_all_lengths)
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("rulespark").getOrCreate()
-    kb = read_facts(spark, args.files)
+    builder = SparkSession.builder.appName("rulespark")
+    spark = (builder if args.cores == "*" else builder.master(f"local[{args.cores}]")).getOrCreate()
+    kb = load_kb(spark, args.files, args.kind)
     if args.command == "mine":
         config = config_of(args)
-        print(header(not config.omit_std))
-        Miner(kb, config, lambda rule: print(report_line(rule, args.datalog, not config.omit_std), flush=True)).mine()
+        print(header(not config.omit_std, args.verbose))
+        show = lambda rule: print(report_line(rule, args.datalog, not config.omit_std, args.verbose), flush=True)
+        found = bias_class(args.bias)(kb, config, None if args.at_the_end else show).mine()
+        for rule in found if args.at_the_end else ():
+            show(rule)
     elif args.command == "query":
         rows = bgp.query(kb, args.variables, args.atoms)
         n = 0

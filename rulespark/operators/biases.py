@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import replace
 from itertools import combinations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rulespark.functions.text import ratio
 from rulespark.operators import schema as types_of
-from rulespark.operators.metrics import batch_body_sizes, batch_supports
+from rulespark.operators.metrics import BATCH, batch_bindings, batch_body_sizes, batch_supports, shape_of
 from rulespark.operators.miner import Config, Miner
 from rulespark.operators.stats import relation_sizes, summary
 from rulespark.plans.terms import TYPE, Atom, Rule, is_variable
@@ -86,38 +87,106 @@ def open_rules(kb: DataFrame, config: Config = Config(max_atoms=2)) -> list[Rule
     return [r for r in out if (r.pca_confidence or 0) >= config.min_pca_confidence]
 
 
-def completeness_rules(kb: DataFrame, truth: DataFrame, schema: DataFrame, least: int = 100, most_values: int = 5) -> DataFrame:
+def completeness_rules(kb: DataFrame, truth: DataFrame, schema: DataFrame, least: int = 100, most_values: int | None = None) -> DataFrame:
     """Rules for an entity's being complete or incomplete in a relation, from what is known of some. ``truth``: ``e``, ``r``, ``complete``.
-    Bodies: has more than n values of the relation, has fewer than n, is of a type, has some fact of another relation. ``confidence``:
-    support over support and counter-evidence."""
+    Bodies: has more than n values of the relation, has fewer than n (n in steps of one up to the largest number of values that occurs, or
+    to ``most_values``), is of a type, isn't, has some fact of another relation. ``confidence``: support over support and counter-evidence."""
     known = truth.select("e", F.col("r").alias("target"), "complete").distinct()
     deg = kb.groupBy(F.col("s").alias("e"), F.col("r").alias("target")).agg(F.count("*").alias("deg"))
-    own = known.join(deg, ["e", "target"], "left").fillna(0, ["deg"])
-    steps = F.sequence(F.lit(0), F.lit(most_values))
-    over = own.select("target", "complete", F.explode(F.filter(steps, lambda n: n < F.col("deg"))).alias("n")).select("target", "complete", F.concat(F.lit("hasNumberOfValuesGreaterThan"), F.col("n").cast("string")).alias("body"))
-    under = own.select("target", "complete", F.explode(F.filter(steps, lambda n: n > F.col("deg"))).alias("n")).select("target", "complete", F.concat(F.lit("hasNumberOfValuesSmallerThan"), F.col("n").cast("string")).alias("body"))
-    typed = known.join(_typed(schema), "e").select("target", "complete", F.concat(F.lit("type "), "type").alias("body"))
-    star = known.join(kb.select(F.col("s").alias("e"), "r").distinct(), "e").filter("r <> target").select("target", "complete", F.concat(F.lit("exists "), "r").alias("body"))
-    rows = over.union(under).union(typed).union(star).groupBy("target", "body").agg(F.count(F.when(F.col("complete"), 1)).alias("yes"), F.count(F.when(~F.col("complete"), 1)).alias("no"))
+    yes_no = [F.count(F.when(F.col("complete"), 1)).alias("yes"), F.count(F.when(~F.col("complete"), 1)).alias("no")]
+    own = known.join(deg, ["e", "target"], "left").fillna(0, ["deg"]).groupBy("target", "deg").agg(*yes_no)  # steps are made of the histogram
+    top = own.groupBy("target").agg(F.max("deg").alias("top") if most_values is None else F.lit(most_values).cast("long").alias("top"))
+    steps = own.join(top, "target").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), "top")))
+    counted = steps.filter("n <> deg").select("target", F.concat(F.when(F.col("n") < F.col("deg"), "hasNumberOfValuesGreaterThan").otherwise("hasNumberOfValuesSmallerThan"), F.col("n").cast("string")).alias("body"), "yes", "no")
+    types = known.join(_typed(schema), "e").groupBy("target", "type").agg(*yes_no)
+    typed = types.select("target", F.concat(F.lit("type "), "type").alias("body"), "yes", "no")
+    untyped = types.join(known.groupBy("target").agg(*[c.alias(f"all_{n}") for c, n in zip(yes_no, ("yes", "no"))]), "target").select("target", F.concat(F.lit("not type "), "type").alias("body"), F.col("all_yes") - F.col("yes"), F.col("all_no") - F.col("no"))
+    star = known.join(kb.select(F.col("s").alias("e"), "r").distinct(), "e").filter("r <> target").groupBy("target", "r").agg(*yes_no).select("target", F.concat(F.lit("exists "), "r").alias("body"), "yes", "no")
+    rows = counted.union(typed).union(untyped).union(star).groupBy("target", "body").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     both = rows.select("target", "body", F.explode(F.array(F.struct(F.lit("isComplete").alias("head"), F.col("yes").alias("support"), F.col("no").alias("against")), F.struct(F.lit("isIncomplete").alias("head"), F.col("no").alias("support"), F.col("yes").alias("against")))).alias("h"))
     return both.select("target", "body", "h.*").filter(F.col("support") >= least).withColumn("confidence", ratio(F.col("support"), F.col("support") + F.col("against")))
 
 
+def completeness_pairs(kb: DataFrame, truth: DataFrame, schema: DataFrame, least: int = 100) -> DataFrame:
+    """Rules like :func:`completeness_rules` with two body atoms, a type and a fact of another relation: ``target``, ``type``, ``r``, ``head``, ``support``,
+    ``against``, ``confidence``."""
+    known = truth.select("e", F.col("r").alias("target"), "complete").distinct()
+    rows = known.join(_typed(schema), "e").join(kb.select(F.col("s").alias("e"), "r").distinct(), "e").filter("r <> target")
+    rows = rows.groupBy("target", "type", "r").agg(F.count(F.when(F.col("complete"), 1)).alias("yes"), F.count(F.when(~F.col("complete"), 1)).alias("no"))
+    both = rows.select("target", "type", "r", F.explode(F.array(F.struct(F.lit("isComplete").alias("head"), F.col("yes").alias("support"), F.col("no").alias("against")), F.struct(F.lit("isIncomplete").alias("head"), F.col("no").alias("support"), F.col("yes").alias("against")))).alias("h"))
+    return both.select("target", "type", "r", "h.*").filter(F.col("support") >= least).withColumn("confidence", ratio(F.col("support"), F.col("support") + F.col("against")))
+
+
 def star_completeness_rules(kb: DataFrame, truth: DataFrame, schema: DataFrame, least: int = 100) -> DataFrame:
     """Of these the rules whose body is a fact of another relation."""
     return completeness_rules(kb, truth, schema, least).filter(F.col("body").startswith("exists "))
 
 
 def seed_supports(kb: DataFrame, seeds: DataFrame, rules: Sequence[Rule]) -> list[int]:
-    """Each rule's number of counted entities that are seeds (``e``)."""
+    """Each rule's number of counted entities that are seeds (``e``); a job for each shape of rule."""
+    out = dict.fromkeys(range(len(rules)), 0)
+    groups: dict[tuple, list] = defaultdict(list)
+    for i, r in enumerate(rules):
+        groups[shape_of(r.atoms), r.variables.index(r.counted_variable)].append((i, r.atoms))
+    wanted = seeds.select("e").distinct()
+    for (_, at), members in groups.items():
+        for k in range(0, len(members), BATCH):
+            rows = batch_bindings(kb.sparkSession, kb, members[k : k + BATCH], [at]).withColumnRenamed(f"v{at}", "e")
+            for row in rows.join(wanted, "e", "left_semi").groupBy("rid").agg(F.count("*").alias("n")).collect():
+                out[row["rid"]] = row["n"]
+    return [out[i] for i in range(len(rules))]
+
+
+def typed_heads(kb: DataFrame, types: DataFrame, coverage: float = 0.01) -> DataFrame:
+    """First refinements of ``=> r(x,y)`` by types (``e``, ``type``): ``r``, ``domain``, ``range``, ``support``: every pair of types and every type of the
+    object alone (``domain`` null); of the subject alone (``range`` null) only in relations without any type of objects."""
+    sizes = relation_sizes(kb).select("r", F.ceil(F.col("n") * coverage).alias("least"))
+    domain, range_ = (types.select(F.col("e").alias(c), F.col("type").alias(t)).distinct() for c, t in (("s", "domain"), ("o", "range")))
+    right = kb.join(range_, "o")
+    pairs = right.join(domain, "s").groupBy("r", "domain", "range").agg(F.count("*").alias("support"))
+    objects = right.groupBy("r", "range").agg(F.count("*").alias("support"))
+    bare = relation_sizes(kb).select("r").join(objects.select("r").distinct(), "r", "left_anti")
+    subjects = kb.join(bare, "r", "left_semi").join(domain, "s").groupBy("r", "domain").agg(F.count("*").alias("support"))
+    none = F.lit(None).cast("string")
+    rows = pairs.unionByName(objects.withColumn("domain", none)).unionByName(subjects.withColumn("range", none))
+    return rows.join(sizes, "r").filter("support >= least").select("r", "domain", "range", "support")
+
+
+def shared_type_pca(kb: DataFrame, types: DataFrame, rule: Rule) -> DataFrame:
+    """One row ``pca_body_size``: pairs of the PCA body that have a type in common, or all of them if none has."""
     from rulespark.plans.bgp import compile_query, name
-
-    out = []
-    for r in rules:
-        v = r.counted_variable
-        rows = compile_query(kb, r.atoms, [v]).withColumnRenamed(name(v), "e")
-        out.append(rows.join(seeds.select("e").distinct(), "e", "left_semi").count())
-    return out
+    from rulespark.plans.terms import pca_query
+
+    x, y = map(name, rule.head.variables)
+    rows = compile_query(kb, pca_query(rule), rule.head.variables)
+    own = lambda c: types.select(F.col("e").alias(c), "type").distinct()
+    alike = rows.join(own(x), x).join(own(y), [y, "type"]).select(x, y).distinct().withColumn("alike", F.lit(1))
+    counts = rows.join(alike, [x, y], "left").agg(F.count("*").alias("all"), F.count("alike").alias("alike"))
+    return counts.select(F.when(F.col("alike") > 0, F.col("alike")).otherwise(F.col("all")).alias("pca_body_size"))
+
+
+def instantiated_head_rules(kb: DataFrame, least: int = 100) -> DataFrame:
+    """``b(x,.) => r(x,C)`` (or with x and C, or the body's places, turned): ``r``, ``counted`` (x's side of the head), ``constant``, ``body``, ``side`` (x's
+    side of the body), ``support``, ``body_size``, ``std_confidence``. The constant is on the side that isn't counted."""
+    sides = summary(kb).select("r", (F.col("subjects") >= F.col("objects")).alias("by_subject"))
+    x, c = (F.when(F.col("by_subject"), F.col(a)).otherwise(F.col(b)) for a, b in (("s", "o"), ("o", "s")))
+    heads = kb.join(F.broadcast(sides), "r").select("r", F.when(F.col("by_subject"), "s").otherwise("o").alias("counted"), x.alias("e"), c.alias("constant"))  # sides: a row per relation
+    big = heads.groupBy("r", "constant").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("r", "constant")
+    has = kb.select(F.col("r").alias("body"), F.lit("s").alias("side"), F.col("s").alias("e")).union(kb.select("r", F.lit("o"), "o")).distinct()
+    hits = heads.join(big, ["r", "constant"], "left_semi").join(has, "e").filter("not (r = body and counted = side)")
+    found = hits.groupBy("r", "counted", "constant", "body", "side").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
+    return found.join(has.groupBy("body", "side").agg(F.count("*").alias("body_size")), ["body", "side"]).withColumn("std_confidence", ratio(F.col("support"), F.col("body_size")))
+
+
+def probabilistic_rules(kb: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rule``, ``support``, ``pca_body``, ``pca_confidence`` over facts with probabilities ``p``."""
+    from functools import reduce
+
+    from rulespark.operators.predict import probabilistic_pca
+    from rulespark.plans.terms import datalog_text
+
+    parts = [probabilistic_pca(kb, r).select(F.lit(datalog_text(r)).alias("rule"), "support", "pca_body") for r in rules]
+    return reduce(DataFrame.union, parts).withColumn("pca_confidence", ratio(F.col("support"), F.col("pca_body")))
 
 
 def link_rules(kb: DataFrame, schema: DataFrame, link: str = "<linksTo>", least: int = 100) -> DataFrame:

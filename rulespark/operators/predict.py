@@ -129,6 +129,42 @@ def rules_per_fact(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("s", "r", "o", "verdict").agg(F.count_distinct("rule").alias("rules")).groupBy("rules", "verdict").agg(F.count("*").alias("n"))
 
 
+def split_evaluated(evaluated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts with a verdict, and those that are left to people."""
+    return evaluated.filter(F.col("verdict") != "Unknown"), evaluated.filter(F.col("verdict") == "Unknown")
+
+
+def rank_rules(rules: DataFrame) -> DataFrame:
+    """``rank`` by PCA confidence, then support, both ascending, then a hash of the text."""
+    w = Window.orderBy("pca_confidence", "support", F.md5("rule"))
+    return rules.withColumn("rank", F.row_number().over(w))  # a row per rule
+
+
+def top_predictions(scored: DataFrame, score: str, n: int) -> DataFrame:
+    """The n predictions of the highest score, among equals by name."""
+    return scored.orderBy(F.desc(score), "s", "r", "o").limit(n)
+
+
+_LEGACY = {"Y": "True", "N": "False"}
+
+
+def legacy_evaluations(lines: Sequence[str], most: int = 30) -> list[tuple[str, str, str, str, str]]:
+    """Evaluations of an old report: a rule's line, then its facts as verdict (Y, N or ?), a tab and ``s/r/o``; ``most`` facts of a rule."""
+    from rulespark.plans.terms import parse_atoms
+
+    out, rule, taken = [], None, 0
+    for line in lines:
+        cells = line.split("\t", 1)
+        fact = cells[1].split("/") if len(cells) == 2 else []
+        if len(fact) == 3 and cells[0] in ("Y", "N", "?"):
+            if rule is not None and taken < most:
+                out.append((rule, *fact, _LEGACY.get(cells[0], "Unknown")))
+                taken += 1
+        elif len(atoms := parse_atoms(line.split("Key variable:")[0])) >= 2:
+            rule, taken = native_text(Rule(atoms[-1], tuple(atoms[:-1]))), 0
+    return out
+
+
 # --- joint predictions
 
 

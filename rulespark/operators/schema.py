@@ -77,6 +77,43 @@ def new_type_facts(schema: DataFrame) -> DataFrame:
     return new.select(F.col("e").alias("s"), F.lit(TYPE).alias("r"), F.col("type").alias("o"))
 
 
+def second_level_types(schema: DataFrame) -> DataFrame:
+    """Types with subclasses, none of which has subclasses."""
+    edges = schema.filter(F.col("r") == SUBCLASS).select(F.col("s").alias("type"), F.col("o").alias("above")).distinct()
+    parents = edges.select(F.col("above").alias("type")).distinct()
+    deep = edges.join(parents, "type", "left_semi").select(F.col("above").alias("type")).distinct()
+    return parents.join(deep, "type", "left_anti")
+
+
+def keep_types(facts: DataFrame, types: DataFrame) -> DataFrame:
+    """Facts without the type facts of other types than the given (``type``)."""
+    wrong = facts.filter(F.col("r") == TYPE).join(types.select(F.col("type").alias("o")), "o", "left_anti")
+    return facts.filter(F.col("r") != TYPE).select("s", "r", "o").unionAll(facts.filter(F.col("r") == TYPE).join(wrong.select("s", "r", "o"), ["s", "r", "o"], "left_anti").select("s", "r", "o"))
+
+
+def lift_leaf_types(facts: DataFrame, schema: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """Type facts of leaf types give way to those of all types above them (of the allowed ones alone, if given); other facts stay."""
+    typed = facts.filter(F.col("r") == TYPE).select("s", F.col("o").alias("type"))
+    inner = schema.filter(F.col("r") == SUBCLASS).select(F.col("o").alias("type")).distinct()
+    above = subclass_closure(schema).filter("a <> b")
+    above = above.filter(F.col("b").isin(*allowed)) if allowed else above
+    lifted = typed.join(inner, "type", "left_anti").join(above.select(F.col("a").alias("type"), F.col("b").alias("o")), "type").select("s", "o")
+    types = typed.join(inner, "type", "left_semi").select("s", F.col("type").alias("o")).union(lifted).distinct()
+    return facts.filter(F.col("r") != TYPE).select("s", "r", "o").union(types.select("s", F.lit(TYPE).alias("r"), "o"))
+
+
+def join_all_types(kb: DataFrame, schema: DataFrame) -> DataFrame:
+    """The facts and all types, stated and above, of their subjects and objects."""
+    entities = kb.select(F.col("s").alias("e")).union(kb.select("o")).distinct()
+    types = all_types(schema).join(entities, "e", "left_semi")
+    return kb.select("s", "r", "o").union(types.select("e", F.lit(TYPE), "type")).distinct()
+
+
+def declared(kb: DataFrame, mark: str) -> DataFrame:
+    """Relations with a fact (relation, mark, TRUE): ``<isFunction>`` for functions, ``<isMandatory>`` for those that all of the domain have."""
+    return kb.filter((F.col("r") == mark) & (F.col("o") == "TRUE")).select(F.col("s").alias("r")).distinct()
+
+
 def entities_of_type(schema: DataFrame, kind: str) -> DataFrame:
     return materialised_types(schema).filter(F.col("type") == kind).select("e")
 

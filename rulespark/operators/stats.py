@@ -136,6 +136,16 @@ def domain_histogram(kb: DataFrame, relation: str, domain: DataFrame) -> DataFra
     return domain.select("e").distinct().join(counts, "e", "left").groupBy(F.coalesce("deg", F.lit(0)).alias("deg")).agg(F.count("*").alias("n"))
 
 
+def typed_distribution(kb: DataFrame, schema: DataFrame) -> DataFrame:
+    """``r``, ``deg``, ``n``, ``p``: fan-outs over all entities of each relation's domain type, those without facts included."""
+    from rulespark.operators.schema import materialised_types, signatures
+
+    domains = signatures(schema).filter("domain is not null").select("r", F.col("domain").alias("type"))
+    universe = domains.join(materialised_types(schema), "type").select("r", "e")
+    rows = universe.join(degrees(kb, "s"), ["r", "e"], "left").groupBy("r", F.coalesce("deg", F.lit(0)).alias("deg")).agg(F.count("*").alias("n"))
+    return rows.join(universe.groupBy("r").agg(F.count("*").alias("total")), "r").select("r", "deg", "n", ratio(F.col("n"), F.col("total")).alias("p"))
+
+
 def signature_statistics(kb: DataFrame, types: DataFrame) -> DataFrame:
     """For each relation and type: entities of that type among subjects and objects, the type's size and the relation's. ``types``: ``s``, ``o``."""
     types = types.select(F.col("s").alias("e"), F.col("o").alias("type")).distinct()
@@ -163,6 +173,22 @@ def hub_pairs(kb: DataFrame, on: str = "o") -> DataFrame:
     return degrees(kb, on).groupBy("r").agg(F.sum(F.col("deg").cast("double") * F.col("deg")).alias("pairs"))
 
 
+def star_pca_estimate(kb: DataFrame, relation: str, head: str, head_side: str = "s", on: str = "o") -> DataFrame:
+    """An estimate of the pairs (x, y) of r(x,z), r(y,z) whose x has the head's relation: r's facts of such x less the repeats that x's fan-out makes."""
+    side = "s" if on == "o" else "o"
+    own = kb.filter(F.col("r") == relation)
+    heads = kb.filter(F.col("r") == head).select(F.col(head_side).alias(side)).distinct()
+    known = own.join(heads, side, "left_semi").agg(F.count("*").alias("facts"), F.count_distinct(side).alias("entities"))
+    fan = own.agg(F.count("*").alias("n"), F.count_distinct(side).alias("k"))
+    return known.join(fan, F.lit(True)).select((F.col("facts") - F.ceil(F.col("entities") * (ratio(F.col("n"), F.col("k")) - 1))).alias("n"))
+
+
+def link_statistics(kb: DataFrame, link: str = "<linksTo>") -> DataFrame:
+    """One row: links, and those between pairs that another relation joins too."""
+    other = kb.filter(F.col("r") != link).select("s", "o").distinct().withColumn("known", F.lit(1))
+    return kb.filter(F.col("r") == link).join(other, ["s", "o"], "left").agg(F.count("*").alias("links"), F.count("known").alias("semantified"))
+
+
 def star_pairs_estimate(kb: DataFrame, relation: str, on: str = "o") -> DataFrame:
     """An estimate of the distinct pairs of r(x,z), r(y,z): the squared degrees less an even share of repeats."""
     own = kb.filter(F.col("r") == relation)

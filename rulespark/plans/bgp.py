@@ -88,7 +88,7 @@ def cardinality_frame(kb: DataFrame, atom: Atom) -> DataFrame:
     return rows.select(*([F.col("e").alias(name(atom.s))] if is_variable(atom.s) else []))
 
 
-def _join_special(kb: DataFrame, rows: DataFrame, atom: Atom) -> DataFrame:
+def _join_special(kb: DataFrame, rows: DataFrame, atom: Atom, product: bool = False) -> DataFrame:
     bound = set(rows.columns)
     kind = plain(atom.r)
     value = lambda t: F.col(name(t)) if is_variable(t) else F.lit(t)
@@ -112,6 +112,8 @@ def _join_special(kb: DataFrame, rows: DataFrame, atom: Atom) -> DataFrame:
     on = [c for c in frame.columns if c in bound]
     if frame.columns == on and on:
         return rows.join(frame, on, "left_semi")
+    if not on and not product and rows.columns != ["_one"]:
+        raise ValueError(f"{atom} shares no variable with the atoms before it: a product, to be asked for by product=True")
     return rows.join(frame, on) if on else rows.join(frame, F.lit(True))
 
 
@@ -127,8 +129,9 @@ def order_atoms(atoms: Sequence[Atom], sizes: dict[str, int] | None = None) -> l
     return out
 
 
-def compile_query(kb: DataFrame, atoms: Sequence[Atom], outputs: Sequence[str], sizes: dict[str, int] | None = None) -> DataFrame:
-    """Distinct bindings of the output variables. Without outputs: one row if there is a binding, else none."""
+def compile_query(kb: DataFrame, atoms: Sequence[Atom], outputs: Sequence[str], sizes: dict[str, int] | None = None, product: bool = False) -> DataFrame:
+    """Distinct bindings of the output variables. Without outputs: one row if there is a binding, else none. Parts of a query that share no
+    variable make a product, which ``product`` must allow."""
     ordinary = order_atoms([a for a in atoms if not a.special], sizes)
     special = [a for a in atoms if a.special]
     missing = [v for v in outputs if v not in variables_of(atoms)]
@@ -149,6 +152,8 @@ def compile_query(kb: DataFrame, atoms: Sequence[Atom], outputs: Sequence[str],
             else:
                 needed = [c for c in frame.columns if c in on or c in later]
                 frame = frame.select(*needed).distinct() if len(needed) < len(frame.columns) else frame
+                if not on and not product and rows.columns != ["_one"]:
+                    raise ValueError(f"{atom} shares no variable with the atoms before it: a product, to be asked for by product=True")
                 rows = rows.join(frame, on) if on else rows.join(frame, F.lit(True))
         kept = [c for c in rows.columns if c in later]
         if len(kept) < len(rows.columns):
@@ -166,7 +171,7 @@ def compile_query(kb: DataFrame, atoms: Sequence[Atom], outputs: Sequence[str],
             rows = existence_frame(kb, first) if plain(first.r) in EXISTENCE else cardinality_frame(kb, first)
         special.remove(first)
     for atom in sorted(special, key=lambda a: (plain(a.r) == DIFFERENT, not all(name(v) in rows.columns for v in a.variables))):
-        rows = _join_special(kb, rows, atom)
+        rows = _join_special(kb, rows, atom, product)
     return rows.select(*map(name, outputs)).distinct() if outputs else rows.select(F.lit(1).alias("one")).limit(1)
 
 

@@ -98,6 +98,9 @@ class Rule:
     body_size: int | None = None
     pca_body_size: int | None = None
     counted: int = 0
+    std_bound: float | None = field(default=None, compare=False)  # no confidence is higher than its bound
+    pca_bound: float | None = field(default=None, compare=False)
+    pca_estimate: float | None = field(default=None, compare=False)
     parents: tuple[Rule, ...] = field(default=(), compare=False, repr=False)
 
     @property
@@ -310,6 +313,26 @@ def _shape(part: tuple[Atom, ...]) -> tuple:
     return tuple((a.r, names.setdefault(a.s, len(names)), names.setdefault(a.o, len(names))) for a in part)
 
 
+def ground(atom: Atom) -> bool:
+    return not atom.variables
+
+
+def reflexive(atom: Atom) -> bool:
+    """Both places have one variable."""
+    return is_variable(atom.s) and atom.s == atom.o
+
+
+def join_positions(a: Atom, b: Atom) -> list[tuple[int, int]]:
+    """The places (0 or 2) at which two atoms have a variable in common."""
+    return [(i, j) for i in (0, 2) for j in (0, 2) if is_variable(a.terms[i]) and a.terms[i] == b.terms[j]]
+
+
+def rule_difference(a: Iterable[Rule], b: Iterable[Rule]) -> list[Rule]:
+    """Rules of a that no rule of b is equivalent to."""
+    known = {r.key for r in b}
+    return [r for r in a if r.key not in known]
+
+
 def single_path(rule: Rule) -> bool:
     return canonical_path(rule) is not None
 
