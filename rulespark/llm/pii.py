@@ -1,15 +1,17 @@
 """Personal data: base patterns, extended by a skip-chain conditional random field.
 
-Base patterns, leftmost and non-overlapping for each kind, are e-mail addresses, IP numbers, payment cards and phone numbers. What
-they leave of the tokens with a digit or ``@`` are open mentions. In each document, mentions form a graph: neighbours in the text are
-linked, and so are mentions of the same or similar content (the same digits but for separators and a country prefix, the same
-address but for case and spelt-out signs), each to the one before. Node, neighbour and skip potentials give every open mention a
-belief by loopy message passing, with the base spans observed. An open mention whose belief in a kind is ``threshold`` or more becomes a
-span of that kind; base spans always stay.
-
-The potentials are trained by pseudo-likelihood on a sample of the documents themselves, with base spans as labels and open mentions
-as outside: about ``sample`` documents, chosen by a hash of the id, so the sample doesn't grow with the corpus; of a document its first
-1,000 mentions, of all kinds of examples the 20,000 most frequent. Finding has no such bounds.
+Base patterns, leftmost and non-overlapping for each kind, are e-mail addresses, IP numbers, payment cards and phone numbers. Open
+mentions are what they leave: runs of 7 to 19 digits over separators, addresses with a spelt-out ``[at]``, and other tokens with a digit
+or ``@``. In each document, mentions form a graph: neighbours in the text are linked, and so are mentions of the same or similar
+content (the same digits but for separators and a country prefix, the same address but for case and spelt-out signs), each to the
+one before and to the nearest base span. Node, neighbour and skip potentials give every open mention a belief by loopy message passing, with the
+base spans observed. An open mention becomes a span of a kind if its belief in it is ``threshold`` or more and it is joined by such links to a
+base span of the kind; base spans always stay.
+
+The potentials are trained by pseudo-likelihood on all documents, as counts of the kinds of examples (class, features, classes of
+neighbours and of alikes), of which there are only so many. Base spans have their kind as label; one that is repeated counts twice more, with
+its signs masked and with all features masked, so that the link must tell it. Open mentions that nothing links to a base span are outside; those that
+are linked to one have no label and are left out, as are they as neighbours.
 
 Rows: one per input row. Null and empty texts have no spans. Repeated rows stay repeated; other columns are ignored. Work is linear in a
 text's length and in its mentions.
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +41,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _OPEN = re.compile(r"\S*[0-9@]\S*")
 _DIGITS = re.compile(r"[0-9]+")
-_SOME = re.compile(r"[0-9@]")
+_SOME = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.I)
+_RUN = re.compile(r"\(?[0-9](?:[ ()./-]{0,3}[0-9])*+")
+_AT, _DOT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*", re.I), re.compile(r"\s*[\[(]\s*dot\s*[\])]\s*", re.I)
+_SIGN = re.compile(r"[\[(] ?at ?[\])]", re.I)
+_SPELT = re.compile(r"[^\s\[\]()]{1,64}\s?[\[(] ?at ?[\])]\s?[^\s\[\]()]{1,64}(?:\s?[\[(] ?dot ?[\])]\s?[^\s\[\]()]{1,64})*+", re.I)
 
 Span = tuple[str, int, int]
 
@@ -114,6 +122,7 @@ N_FEATURES = 22
 
 def shape(text: str) -> list[int]:
     """Numbers of the features a mention has; none tells whether a base pattern holds, so open mentions can be like base spans."""
+    text = signs(text)
     digits = sum(map(len, _DIGITS.findall(text)))
     out = [0, 1 + sum(digits >= b for b in (1, 4, 7, 8, 12, 16, 20))]
     out += [9 + i for i, c in enumerate(("@", "+", "(", "-", ":", "/", "=")) if c in text]
@@ -124,11 +133,16 @@ def shape(text: str) -> list[int]:
     return out
 
 
+def signs(text: str) -> str:
+    """Spelt-out signs of addresses as signs."""
+    return _DOT.sub(".", _AT.sub("@", text)) if "[" in text or "(" in text else text
+
+
 def likeness_keys(text: str) -> str:
     """Mentions with the same non-empty key are repeated or similar."""
-    low = text.lower()
-    if "@" in low or "[at]" in low or "(at)" in low:
-        return re.sub(r"[\[(]\s*dot\s*[\])]", ".", re.sub(r"[\[(]\s*at\s*[\])]", "@", low)).strip(".,;:!?()<>\"'")
+    low = signs(text.lower())
+    if "@" in low:
+        return low.strip(".,;:!?()<>\"'")
     digits = "".join(_DIGITS.findall(text))
     return digits[-10:] if len(digits) >= 7 else ""
 
@@ -141,6 +155,23 @@ class Graph:
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
+    def named(self) -> list[set[int]]:
+        """For each mention the kinds of base spans among those that skips join it to."""
+        group = list(range(len(self.spans)))
+
+        def root(i: int) -> int:
+            while group[i] != i:
+                group[i] = group[group[i]]
+                i = group[i]
+            return i
+
+        for a, b in self.skip:
+            group[root(a)] = root(b)
+        kinds: dict[int, set[int]] = {}
+        for i, k in enumerate(self.observed.tolist()):
+            kinds.setdefault(root(i), set()).update([k] if k > 0 else [])
+        return [kinds[root(i)] for i in range(len(group))]
+
 
 def graph(text: str, base: list[Span]) -> Graph | None:
     """None if there is no open mention."""
@@ -149,32 +180,53 @@ def graph(text: str, base: list[Span]) -> Graph | None:
     for a, b, k in taken:  # of overlapping base spans the first stands for the node
         if not merged or a >= merged[-1][1]:
             merged.append((a, b, k))
-    nodes, i = list(merged), 0
-    opened = False
-    for m in _OPEN.finditer(text):
-        a, b = m.span()
-        while i < len(merged) and merged[i][1] <= a:
-            i += 1
-        if i < len(merged) and merged[i][0] < b:
-            continue
-        while b > a and text[b - 1] in ".,;:!?)\"'>*#$%&":
-            b -= 1
-        while a < b and text[a] in "(\"'<":
-            a += 1
-        if b > a and _SOME.search(text, a, b):
-            nodes.append((a, b, -1))
-            opened = True
+    whole = [m.span() for m in _SPELT.finditer(text)] if _SIGN.search(text) else []
+    whole += [m.span() for m in _RUN.finditer(text) if 7 <= sum(map(len, _DIGITS.findall(m[0]))) <= 19]
+    opened = _apart(_trimmed(text, sorted(whole)), merged)
+    opened += _apart(_trimmed(text, [m.span() for m in _OPEN.finditer(text)]), sorted([*merged, *((a, b, -1) for a, b in opened)]))
     if not opened:
         return None
-    nodes.sort()
+    nodes = sorted([*merged, *((a, b, -1) for a, b in opened)])
     chain = [(j, j + 1) for j in range(len(nodes) - 1) if nodes[j + 1][0] - nodes[j][1] <= 40]
-    skip, last = [], {}
+    by_key: dict[str, list[int]] = {}
     for j, (a, b, _) in enumerate(nodes):
         if key := likeness_keys(text[a:b]):
-            if key in last:
-                skip.append((last[key], j))
-            last[key] = j
-    return Graph([(a, b) for a, b, _ in nodes], np.array([k for *_, k in nodes]), [shape(text[a:b]) for a, b, _ in nodes], chain, skip)
+            by_key.setdefault(key, []).append(j)
+    skip = set()
+    for own in by_key.values():
+        skip.update(zip(own, own[1:]))
+        base_at = [j for j in own if nodes[j][2] > 0]
+        for j in own:
+            if base_at and nodes[j][2] < 0:
+                k = bisect_left(base_at, j)
+                near = min(base_at[max(0, k - 1) : k + 1], key=lambda x: abs(x - j))
+                skip.add((min(near, j), max(near, j)))
+    return Graph([(a, b) for a, b, _ in nodes], np.array([k for *_, k in nodes]), [shape(text[a:b]) for a, b, _ in nodes], chain, sorted(skip))
+
+
+def _trimmed(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Without punctuation at their ends, and without those that it leaves nothing of."""
+    out = []
+    for a, b in spans:
+        while b > a and text[b - 1] in ".,;:!?)\"'>*#$%&":
+            b -= 1
+        while a < b and text[a] in "(\"'<":
+            a += 1
+        if b > a and _SOME.search(text, a, b):
+            out.append((a, b))
+    return out
+
+
+def _apart(spans: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans, in order, that overlap none that is taken nor one another."""
+    out, i, end = [], 0, 0
+    for a, b in spans:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if a >= end and not (i < len(taken) and taken[i][0] < b):
+            out.append((a, b))
+            end = b
+    return out
 
 
 @dataclass(frozen=True)
@@ -214,7 +266,7 @@ def beliefs(g: Graph, p: Potentials, rounds: int = 8) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[int, list[int], list[int], list[int], int]], rounds: int = 200, ridge: float = 1e-3) -> Potentials:
+def fit(rows: list[tuple[int, list[int], list[int], list[int], int]], rounds: int = 600, ridge: float = 1e-4) -> Potentials:
     """Pseudo-likelihood: each mention's class given its features and the classes of its neighbours. Rows: class, features, chain and skip neighbours' classes, how often."""
     c = len(CLASSES)
     width = N_FEATURES + 2 * c
@@ -245,37 +297,49 @@ def fit(rows: list[tuple[int, list[int], list[int], list[int], int]], rounds: in
 
 
 def examples(text: str) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """Class, features, classes of the labelled neighbours and alikes, of each labelled mention."""
     base = base_spans(text)
     g = graph(text, base)
-    if g is None:  # base spans alone still teach their shapes
-        nodes = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
-        return [(k, shape(text[a:b]), [], []) for a, b, k in nodes]
-    y = np.where(g.observed < 0, 0, g.observed).tolist()
+    if g is None:  # base spans alone: the same graph without open mentions
+        g = graph(text + " 0", base)
+    y = g.observed.copy()
+    named = g.named()
+    y[[i for i in range(len(y)) if y[i] < 0 and not named[i]]] = 0
     near, like = [[] for _ in y], [[] for _ in y]
     for edges, into in ((g.chain, near), (g.skip, like)):
         for a, b in edges:
-            into[a].append(y[b])
-            into[b].append(y[a])
-    return list(zip(y, g.features, near, like))
+            if y[b] >= 0:
+                into[a].append(int(y[b]))
+            if y[a] >= 0:
+                into[b].append(int(y[a]))
+    out = []
+    for i in range(len(y)):
+        if y[i] < 0 or g.spans[i][0] >= len(text):
+            continue
+        views = [g.features[i]]
+        if y[i] > 0 and like[i]:  # a variant has other signs, or is unlike it altogether
+            views += [[f for f in g.features[i] if f < 9 or f == 21], [0]]
+        out += [(int(y[i]), f, sorted(near[i]), sorted(like[i])) for f in views]
+    return out
 
 
-def train(docs: DataFrame, sample: int = 4_000) -> Potentials:
-    n = docs.select("id").count()
-    if n > sample:
-        share = int(1_000_000 * sample / n)
-        docs = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) <= share)
+def train(docs: DataFrame) -> Potentials:
+    """Counts over all documents; what is collected are kinds of examples, whose number the features bound."""
 
     def run(batches: Iterator[list[list]]):
-        for _, texts in batches:
-            made = [e for t in texts for e in examples(t)[:1000]]
-            yield [[e[i] for e in made] for i in range(4)]
+        for (texts,) in batches:
+            kinds: Counter = Counter()
+            for text in texts:
+                if _SOME.search(text):
+                    kinds.update((y, tuple(f), tuple(near), tuple(like)) for y, f, near, like in examples(text))
+            rows = [(y, list(f), list(near), list(like), n) for (y, f, near, like), n in kinds.items()]
+            yield list(zip(*rows)) if rows else [[] for _ in range(5)]
 
-    rows = map_batches(docs, run, schema_of("y int, f array<int>, near array<int>, alike array<int>"))
-    rows = rows.groupBy("y", "f", "near", "alike").count().orderBy(F.desc("count"), "y", "f", "near", "alike").limit(20_000).collect()
-    return fit([tuple(r) for r in rows])
+    rows = map_batches(docs.select("text"), run, schema_of("y int, f array<int>, near array<int>, alike array<int>, n long"))
+    return fit([tuple(r) for r in rows.groupBy("y", "f", "near", "alike").agg(F.sum("n")).collect()])
 
 
-def find(text: str, p: Potentials, threshold: float = 0.9) -> tuple[list[Span], list[Span]]:
+def find(text: str, p: Potentials, threshold: float = 0.5) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, both in listed order."""
     base = in_listed_order(base_spans(text))
     if not base and not _SOME.search(text):
@@ -283,15 +347,18 @@ def find(text: str, p: Potentials, threshold: float = 0.9) -> tuple[list[Span],
     g = graph(text, base)
     if g is None:
         return base, base
+    named = g.named()
+    if not any(kinds and y < 0 for kinds, y in zip(named, g.observed)):
+        return base, base
     b = beliefs(g, p)
-    more = [(CLASSES[k], *g.spans[i]) for i, k in enumerate(b.argmax(1)) if g.observed[i] < 0 and k and b[i, k] >= threshold]
+    more = [(CLASSES[k], *g.spans[i]) for i, k in enumerate(b.argmax(1)) if g.observed[i] < 0 and k in named[i] and b[i, k] >= threshold]
     return base, in_listed_order(base + more) if more else base
 
 
-def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4_000, threshold: float = 0.9) -> DataFrame:
+def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``id``, counts of base spans by kind, ``base_sha256``, ``spans``."""
     docs = pick(df, id_col, text_col)
-    p = train(docs, sample)
+    p = train(docs)
 
     def run(batches: Iterator[list[list]]):
         for ids, texts in batches:
