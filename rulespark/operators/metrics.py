@@ -142,9 +142,8 @@ def batch_counts(spark: SparkSession, kb: DataFrame, queries: Sequence[tuple[int
             number = {v: n for n, v in enumerate(variables_of(a for a in atoms if plain(a.r) != DIFFERENT))}
             groups[shape, k, tuple(sorted(number[v] for v in counted[i]))].append((i, atoms))
     parts = [batch_bindings(spark, kb, members, kept).groupBy("rid").agg(F.count("*").alias("n")) for (_, _, kept), members in groups.items()]
-    for part in parts:
-        for row in part.collect():
-            out[row["rid"]] = row["n"]
+    for row in reduce(DataFrame.unionAll, parts).collect() if parts else ():  # all shapes in one job
+        out[row["rid"]] = row["n"]
     return out
 
 
@@ -215,6 +214,22 @@ def path_bounds(spark: SparkSession, kb: DataFrame, rules: Sequence[tuple[int, R
     return {r["rid"]: (r["low"], r["high"], r["pca_low"], r["pca_high"]) for r in rows.collect()}
 
 
+def path_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[tuple[int, Rule]]) -> dict[int, tuple[int, int]]:
+    """Exact body sizes of path rules, one plan for all: pairs of labels are followed once, however many heads have them as bodies."""
+    paths = {i: (*path_of(r), r.head.r, r.counted) for i, r in rules}
+    number = {p: k for k, p in enumerate(dict.fromkeys(p[:2] for p in paths.values()))}
+    pairs = spark.createDataFrame([(k, *p) for p, k in number.items()], "pid int, l1 string, l2 string")
+    wanted = spark.createDataFrame([(i, number[p[:2]], *p[2:]) for i, p in paths.items()], "rid long, pid int, h string, counted int")
+    edges = labelled_edges(kb)
+    first = edges.join(F.broadcast(pairs), F.col("l") == F.col("l1")).select("pid", "l2", F.col("a").alias("u"), F.col("b").alias("z"))  # at most BATCH rows
+    second = edges.select(F.col("l").alias("l2"), F.col("a").alias("z"), F.col("b").alias("w"))
+    reached = first.join(second, ["l2", "z"]).select("pid", "u", "w").distinct().groupBy("pid", "u").agg(F.count("*").alias("n"))
+    own = kb.select(F.lit(0).alias("counted"), F.col("r").alias("h"), F.col("s").alias("u")).union(kb.select(F.lit(2), "r", "o")).distinct().withColumn("known", F.lit(1))
+    rows = reached.join(F.broadcast(wanted), "pid").join(own, ["counted", "h", "u"], "left")  # wanted: at most BATCH rows
+    got = rows.groupBy("rid").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("p")).collect()
+    return dict.fromkeys(paths, (0, 0)) | {r["rid"]: (r["n"], r["p"]) for r in got}
+
+
 def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule], variables=None) -> list[tuple[int, int]]:
     """Body size and PCA body size of each rule: bodies once, then those whose counted entity has any fact of the head's relation.
     ``variables`` gives the variables of a rule whose bindings count; by default those of its head."""
@@ -225,6 +240,7 @@ def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule],
         kept = tuple(number[v] for v in (variables(r) if variables else r.head.variables))
         groups[shape_of(r.body), kept, number[r.counted_variable] if is_variable(r.counted_variable) else None, r.counted].append(i)
     domains = {0: kb.select("r", F.col("s").alias("e")).distinct(), 2: kb.select("r", F.col("o").alias("e")).distinct()}
+    parts = []
     for (_, kept, at, counted), members in groups.items():
         for k in range(0, len(members), BATCH):
             part = members[k : k + BATCH]
@@ -233,6 +249,7 @@ def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule],
             entity = F.col(f"v{at}") if at is not None else F.col("c")
             domain = domains[counted].withColumn("known", F.lit(1))
             rows = rows.join(F.broadcast(heads), "rid").withColumn("e", entity).join(domain, ["r", "e"], "left")  # heads: at most BATCH rows
-            for row in rows.groupBy("rid").agg(F.count("*").alias("n"), F.count("known").alias("p")).collect():
-                out[row["rid"]] = row["n"], row["p"]
+            parts.append(rows.groupBy("rid").agg(F.count("*").alias("n"), F.count("known").alias("p")))
+    for row in reduce(DataFrame.unionAll, parts).collect() if parts else ():  # all shapes in one job
+        out[row["rid"]] = row["n"], row["p"]
     return [out[i] for i in range(len(rules))]

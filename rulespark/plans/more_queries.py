@@ -527,7 +527,7 @@ _TWO_ALL = f"""st AS (SELECT r, count(*) AS n, count(DISTINCT s) AS ns, count(DI
 two AS (SELECT h.r AS h, e.l, count(*) AS support FROM kb h JOIN e ON e.a = h.s AND e.b = h.o WHERE e.l <> h.r || '+' GROUP BY 1, 2),
 ds AS (SELECT DISTINCT r, s AS x FROM kb), dn AS (SELECT DISTINCT r, o AS x FROM kb),
 body2 AS (SELECT two.h, two.l, count(*) AS body_size, count(*) FILTER (CASE WHEN f THEN ds.x ELSE dn.x END IS NOT NULL) AS pca FROM two JOIN st ON st.r = two.h JOIN e ON e.l = two.l LEFT JOIN ds ON ds.r = two.h AND ds.x = e.a LEFT JOIN dn ON dn.r = two.h AND dn.x = e.b GROUP BY 1, 2)"""
-_ATOM = "CASE WHEN {0} LIKE '%+' THEN '{1}  ' || left({0}, -1) || '  {2}' ELSE '{2}  ' || left({0}, -1) || '  {1}' END"
+_ATOM = "CASE WHEN {0} LIKE '%+' THEN '{1}|' || left({0}, -1) || '|{2}' ELSE '{2}|' || left({0}, -1) || '|{1}' END"
 _MEASURES = "support::DOUBLE / n AS head_coverage, support::DOUBLE / body_size AS std_confidence, support::DOUBLE / pca AS pca_confidence, support, body_size, pca AS pca_body_size, CASE WHEN f THEN '?a' ELSE '?b' END AS functional_variable"
 
 ORACLES["mine_closed_rules_skyline"] = f"""{_KB} {_TWO_ALL},
@@ -537,21 +537,22 @@ twinbody AS (SELECT twin.h, l1, l2, count(*) AS body_size, count(*) FILTER (CASE
 c3 AS (SELECT twin.*, twinbody.body_size, twinbody.pca, st.n, st.f FROM twin JOIN twinbody USING (h, l1, l2) JOIN st ON st.r = twin.h JOIN c2 x ON x.h = twin.h AND x.l = l1 JOIN c2 y ON y.h = twin.h AND y.l = l2
   WHERE st.n >= 100 AND twin.support >= ceil(0.01 * st.n) AND twin.support::DOUBLE / twinbody.pca > x.support::DOUBLE / x.pca AND twin.support::DOUBLE / twinbody.pca > y.support::DOUBLE / y.pca),
 fan AS (SELECT a, count(*) AS deg FROM e GROUP BY a), heads AS (SELECT kb.r AS h, s AS x, o AS y, p.deg <= q.deg AS from_x FROM kb JOIN fan p ON p.a = s JOIN fan q ON q.a = o JOIN st ON st.r = kb.r WHERE st.n >= 100),
-hits AS (SELECT h, x, y, p.l AS lx, q.l AS ly FROM heads JOIN e p ON p.a = x JOIN e q ON q.a = y AND q.b = p.b WHERE from_x UNION SELECT h, x, y, p.l, q.l FROM heads JOIN e q ON q.a = y JOIN e p ON p.a = x AND p.b = q.b WHERE NOT from_x),
+near_x AS MATERIALIZED (SELECT h, x, y, l AS lx, b AS z FROM heads JOIN e ON a = x WHERE from_x), near_y AS MATERIALIZED (SELECT h, x, y, l AS ly, b AS z FROM heads JOIN e ON a = y WHERE NOT from_x),
+hits AS (SELECT h, x, y, lx, e.l AS ly FROM near_x JOIN e ON e.a = y AND e.b = z UNION SELECT h, x, y, e.l, ly FROM near_y JOIN e ON e.a = x AND e.b = z),
 tri AS (SELECT h, lx, ly, count(*) AS support FROM hits GROUP BY 1, 2, 3),
 mid AS (SELECT tri.*, n, f, CASE WHEN f THEN lx ELSE ly END AS m1, CASE WHEN f THEN {_INV.format('ly')} ELSE {_INV.format('lx')} END AS m2 FROM tri JOIN st ON st.r = h WHERE support >= ceil(0.01 * n)),
 d AS (SELECT l, a, count(*) AS deg FROM e GROUP BY 1, 2), pairs AS (SELECT DISTINCT m1, m2 FROM mid), reach AS (SELECT m1, m2, e.a AS u, max(deg) AS least FROM pairs JOIN e ON e.l = m1 JOIN d ON d.l = m2 AND d.a = e.b GROUP BY 1, 2, 3),
 own AS (SELECT r, true AS f, x FROM ds UNION ALL SELECT r, false, x FROM dn),
 low AS (SELECT mid.h, lx, ly, sum(least) AS low FROM mid JOIN reach USING (m1, m2) JOIN own ON own.r = mid.h AND own.f = mid.f AND own.x = u GROUP BY 1, 2, 3),
-left_ AS (SELECT mid.* FROM mid JOIN low USING (h, lx, ly) WHERE support >= 0.1 * low), todo AS (SELECT DISTINCT m1, m2 FROM left_),
-reached AS (SELECT DISTINCT m1, m2, p.a AS u, q.b AS w FROM todo JOIN e p ON p.l = m1 JOIN e q ON q.l = m2 AND q.a = p.b), per AS (SELECT m1, m2, u, count(*) AS n FROM reached GROUP BY 1, 2, 3),
+left_ AS (SELECT mid.* FROM mid JOIN low USING (h, lx, ly) WHERE support >= 0.1 * low), todo AS (SELECT DISTINCT m1, m2 FROM left_), first_ AS MATERIALIZED (SELECT m1, m2, a AS u, b AS z FROM todo JOIN e ON l = m1),
+reached AS (SELECT DISTINCT m1, m2, u, b AS w FROM first_ JOIN e ON l = m2 AND a = z), per AS (SELECT m1, m2, u, count(*) AS n FROM reached GROUP BY 1, 2, 3),
 sizes AS (SELECT left_.h, lx, ly, sum(per.n)::BIGINT AS body_size, (sum(per.n) FILTER (own.x IS NOT NULL))::BIGINT AS pca FROM left_ JOIN per USING (m1, m2) LEFT JOIN own ON own.r = left_.h AND own.f = left_.f AND own.x = u GROUP BY 1, 2, 3),
 c4 AS (SELECT left_.*, body_size, pca FROM left_ JOIN sizes USING (h, lx, ly)),
 shown AS (
   SELECT {_ATOM.format('l', '?h0', '?h1')} AS body, h, support, n, body_size, pca, f FROM c2
   UNION ALL SELECT least({_ATOM.format('l1', '?h0', '?h1')}, {_ATOM.format('l2', '?h0', '?h1')}) || '  ' || greatest({_ATOM.format('l1', '?h0', '?h1')}, {_ATOM.format('l2', '?h0', '?h1')}), h, support, n, body_size, pca, f FROM c3
   UNION ALL SELECT least({_ATOM.format('lx', '?h0', '?v0')}, {_ATOM.format('ly', '?h1', '?v0')}) || '  ' || greatest({_ATOM.format('lx', '?h0', '?v0')}, {_ATOM.format('ly', '?h1', '?v0')}), h, support, n, body_size, pca, f FROM c4)
-SELECT body || '   => ?h0  ' || h || '  ?h1' AS rule, {_MEASURES} FROM shown WHERE support >= 0.1 * pca"""
+SELECT replace(body, '|', '  ') || '   => ?h0  ' || h || '  ?h1' AS rule, {_MEASURES} FROM shown WHERE support >= 0.1 * pca"""
 
 
 @register("mine_head_targets", f"{_KB} {_TWO_ALL}, ok AS (SELECT two.h, left(two.l, -1) AS b, two.l LIKE '%-' AS inv, support, body_size, pca, n, f FROM two JOIN body2 USING (h, l) JOIN st ON st.r = two.h WHERE two.h IN ('boughtFrom', 'returned') AND support >= ceil(0.01 * n)) SELECT {_NATIVE}, {_MEASURES} FROM ok WHERE support >= 0.1 * pca")
@@ -596,7 +597,8 @@ def _specialised(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("triangle_supports", f"""{_KB} {_E}, fan AS (SELECT a, count(*) AS deg FROM e GROUP BY a), heads AS (SELECT kb.r AS h, s AS x, o AS y, p.deg <= q.deg AS from_x FROM kb JOIN fan p ON p.a = s JOIN fan q ON q.a = o),
-hits AS (SELECT h, x, y, p.l AS lx, q.l AS ly FROM heads JOIN e p ON p.a = x JOIN e q ON q.a = y AND q.b = p.b WHERE from_x UNION SELECT h, x, y, p.l, q.l FROM heads JOIN e q ON q.a = y JOIN e p ON p.a = x AND p.b = q.b WHERE NOT from_x)
+near_x AS MATERIALIZED (SELECT h, x, y, l AS lx, b AS z FROM heads JOIN e ON a = x WHERE from_x), near_y AS MATERIALIZED (SELECT h, x, y, l AS ly, b AS z FROM heads JOIN e ON a = y WHERE NOT from_x),
+hits AS (SELECT h, x, y, lx, e.l AS ly FROM near_x JOIN e ON e.a = y AND e.b = z UNION SELECT h, x, y, e.l, ly FROM near_y JOIN e ON e.a = x AND e.b = z)
 SELECT h AS head, lx, ly, count(*) AS n FROM hits GROUP BY 1, 2, 3""")
 def _triangles(spark: SparkSession, d: str) -> DataFrame:
     """Supports of all rules of three atoms over three variables, all relations and directions at once."""
