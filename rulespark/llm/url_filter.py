@@ -2,10 +2,11 @@
 
 A URL is cut into lower-case tokens ``[a-z0-9]+``. Each pattern rule lists literal tokens of which every match of its regular
 expression holds all as whole tokens. The rule is filed under the one that the fewest URLs hold; the URL's tokens fetch the rules
-filed under them, and only those run their regular expressions. Rules without literal tokens can't be indexed and run on each URL.
+filed under them, and only those run their regular expressions, in the order of the rules. Rules without literal tokens can't be indexed
+and run on each URL; of those registered none is without.
 
-Before the patterns, site rules (host suffix, path prefix) decide: the longest that fits wins, on equal length the one with the
-longer host. A URL that neither decides is allowed.
+Before the patterns, site rules (host suffix, path prefix) decide: they are filed by host, and a URL looks up its host and the hosts
+above it. The longest that fits wins, on equal length the one with the longer host. A URL that neither decides is allowed.
 
 Rows: one per input row. Null, empty and malformed URLs (no ``://``) have empty host and path; patterns still see a malformed URL's
 text. Repeated rows stay repeated. Other columns, of whatever name, are ignored.
@@ -57,8 +58,12 @@ PATTERN_RULES = (
     PatternRule("casino", "block", r"://[^/?#]*\bcasino\b", ("casino",)),
     PatternRule("free bets", "block", r"://[^/?#]*\bfree-bets\b", ("free", "bets")),
     PatternRule("cheap pills", "block", r"://[^/?#]*\bcheap-pills\b", ("cheap", "pills")),
-    PatternRule("adult", "block", r"://[^/?#]*\b(?:xxx|porn)\b", ()),
-    PatternRule("payday loans", "block", r"://[^/?#]*\bpayday-?loans?\b", ()),
+    PatternRule("adult", "block", r"://[^/?#]*\bxxx\b", ("xxx",)),
+    PatternRule("adult", "block", r"://[^/?#]*\bporn\b", ("porn",)),
+    PatternRule("payday loans", "block", r"://[^/?#]*\bpayday-loan\b", ("payday", "loan")),
+    PatternRule("payday loans", "block", r"://[^/?#]*\bpayday-loans\b", ("payday", "loans")),
+    PatternRule("payday loans", "block", r"://[^/?#]*\bpaydayloan\b", ("paydayloan",)),
+    PatternRule("payday loans", "block", r"://[^/?#]*\bpaydayloans\b", ("paydayloans",)),
     PatternRule("replica watches", "block", r"://[^/?#]*\breplica-watches\b", ("replica", "watches")),
     PatternRule("tracker pixel", "block", r"/(?:pixel|beacon)\.gif\b", ("gif",)),
 )
@@ -84,15 +89,34 @@ def token_counts(urls: DataFrame, url_col: str, wanted: set[str]) -> dict[str, i
     return {r["token"]: r["count"] for r in rows}
 
 
-def index_rules(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> tuple[dict[str, list[PatternRule]], list[PatternRule]]:
-    """Rules by their rarest literal, and those without one."""
-    by_token: dict[str, list[PatternRule]] = {}
+def index_sites(sites: tuple[SiteRule, ...]) -> dict[str, list[SiteRule]]:
+    """By host, the longest path first."""
+    by_host: dict[str, list[SiteRule]] = {}
+    for rule in sorted(sites, key=lambda r: -len(r.path)):
+        by_host.setdefault(rule.host, []).append(rule)
+    return by_host
+
+
+def site_rule(by_host: dict[str, list[SiteRule]], host: str, path: str) -> SiteRule | None:
+    best, at = None, host
+    while True:
+        own = next((r for r in by_host.get(at, ()) if path.startswith(r.path)), None)
+        if own and (best is None or (len(own.name), len(own.host)) > (len(best.name), len(best.host))):
+            best = own
+        _, dot, at = at.partition(".")
+        if not dot:
+            return best
+
+
+def index_rules(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
+    """Numbers of the rules by their rarest literal, and of those without one."""
+    by_token: dict[str, list[int]] = {}
     rest = []
-    for rule in rules:
+    for i, rule in enumerate(rules):
         if rule.literals:
-            by_token.setdefault(min(rule.literals, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
+            by_token.setdefault(min(rule.literals, key=lambda t: (counts.get(t, 0), t)), []).append(i)
         else:
-            rest.append(rule)
+            rest.append(i)
     return by_token, rest
 
 
@@ -100,19 +124,17 @@ def filter_urls(urls: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``id``, ``host``, ``path``, ``rule`` (deciding site rule or null), ``verdict``, ``pattern`` (deciding pattern rule or null)."""
     counts = token_counts(urls, url_col, {t for r in patterns for t in r.literals})
     by_token, rest = index_rules(patterns, counts)
-    ranked = sorted(sites, key=lambda r: (-len(r.name), -len(r.host)))
-    compiled = {r.name: re.compile(r.regex) for r in patterns}
+    by_host = index_sites(sites)
+    compiled = [re.compile(r.regex) for r in patterns]
 
     def judge(key, url):
         host, path = split_url(url)
-        for rule in ranked:
-            if (host == rule.host or host.endswith("." + rule.host)) and path.startswith(rule.path):
-                return key, host, path, rule.name, rule.verdict, None
+        if rule := site_rule(by_host, host, path):
+            return key, host, path, rule.name, rule.verdict, None
         low = (url or "").lower()
-        fetched = {r.name: r for t in TOKEN.findall(low) for r in by_token.get(t, ())} | {r.name: r for r in rest}
-        for rule in patterns:
-            if rule.name in fetched and compiled[rule.name].search(low):
-                return key, host, path, None, rule.verdict, rule.name
+        for i in sorted({i for t in TOKEN.findall(low) for i in by_token.get(t, ())}.union(rest)):
+            if compiled[i].search(low):
+                return key, host, path, None, patterns[i].verdict, patterns[i].name
         return key, host, path, None, "allow", None
 
     kind = urls.schema[id_col].dataType.simpleString()

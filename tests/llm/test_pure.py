@@ -186,7 +186,7 @@ def test_least_edits_is_the_edit_distance():
 
 def test_recall_at_the_full_number_of_edits():
     rng = random.Random(7)
-    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(12, 60)))) for i in range(60)]
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(12, 60)))) for i in range(300)]
     known = decontaminate.Items(items, 0.2)
     found = 0
     for k, (_, h) in enumerate(known.items):
@@ -201,7 +201,7 @@ def test_recall_at_the_full_number_of_edits():
                 del w[p]
         pad = [rng.getrandbits(63) for _ in range(30)]
         found += any(m[1] == k for m in known.matches([np.array(pad + w + pad, np.uint64)]))
-    assert found / len(items) >= 0.95
+    assert found / len(items) >= 0.97
     assert known.matches([np.array([rng.getrandbits(63) for _ in range(500)], np.uint64)]) == []
 
 
@@ -210,7 +210,18 @@ def test_url_parts_and_rules():
     assert url_filter.split_url(None) == url_filter.split_url("no scheme") == ("", "")
     assert url_filter.split_url("http://host?x") == ("host", "")
     by_token, rest = url_filter.index_rules(url_filter.PATTERN_RULES, {"free": 9, "bets": 1})
-    assert any(r.name == "free bets" for r in by_token["bets"]) and all(not r.literals for r in rest)
+    assert any(url_filter.PATTERN_RULES[i].name == "free bets" for i in by_token["bets"]) and not rest
+
+
+def test_site_index_is_a_scan_of_all_rules():
+    rng = random.Random(11)
+    hosts = ["org", "a.org", "b.a.org", "com", "a.com", ""]
+    for _ in range(300):
+        rules = tuple(url_filter.SiteRule(rng.choice(["allow", "block"]), h, p) for h, p in {(rng.choice(hosts), rng.choice(["/", "/x", "/x/y", ""])) for _ in range(5)})
+        host, path = rng.choice([*hosts, "z.b.a.org", "borg"]), rng.choice(["", "/", "/x", "/x/y/z", "/w"])
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        want = max(fits, key=lambda r: (len(r.name), len(r.host)), default=None)
+        assert url_filter.site_rule(url_filter.index_sites(rules), host, path) == want
 
 
 def test_license_notices():

@@ -78,7 +78,7 @@ def test_near_duplicates(docs, empty, words):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_large_groups(spark):
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
     rng = random.Random(9)
     base = [rng.choice(WORDS) for _ in range(60)]
     rows = []
@@ -88,10 +88,11 @@ def test_near_duplicates_in_large_groups(spark):
             w[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     _, want = brute_components(rows, 2, 80)
-    old = near_dup.BLOCK
-    got = {r["id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
-    near_dup.BLOCK = old
-    assert [got[i] for i, _ in rows] == want
+    for block, members in ((near_dup.BLOCK, near_dup.MEMBERS), (4, 8)):  # also in many blocks, and salted
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "MEMBERS", members)
+        got = {r["id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+        assert [got[i] for i, _ in rows] == want
 
 
 def test_near_copies_without_ids(spark):
@@ -178,6 +179,8 @@ def test_urls(spark):
     got = sorted(((r["id"] or 0, r["rule"], r["verdict"]) for r in url_filter.filter_urls(df).collect()), key=str)
     assert got == sorted([(1, "example.org/es/", "block"), (2, "example.org/en/1", "block"), (3, "com/de/", "block"), (4, None, "block"), (5, None, "allow"), (6, None, "allow"), (6, None, "block"), (0, None, "allow")], key=str)
     assert url_filter.filter_urls(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, ""), (2, "http://" + "a." * 50_000 + "casino.net/x"), (3, "http://payday-loans.net"), (4, "http://paydayloan.net"), (5, "http://xporn.net"), (5, "http://porn.net")], "page_id long, url string")
+    assert sorted((r["id"], r["verdict"], r["pattern"]) for r in url_filter.filter_urls(odd).collect() if r["pattern"]) == [(2, "block", "casino"), (3, "block", "payday loans"), (4, "block", "payday loans"), (5, "block", "adult")]
 
 
 def test_conversations(spark):
@@ -227,6 +230,51 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def edits_within(item, words):
+    """Least edit distance between the item and any stretch, by the plain table over all of them."""
+    row = [0] * (len(words) + 1)
+    for x in item:
+        new = [row[0] + 1]
+        for j, y in enumerate(words):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_all_windows(spark, monkeypatch):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, text ids, several passes."""
+    rng = random.Random(21)
+    items = [(f"item{i}", " ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 6, 15, 30])))) for i in range(12)]
+    items += [("none", None), ("empty", ""), items[3]]
+    rows = [(None, None), (1, ""), (2, LONG + " " + items[2][1])]
+    for i in range(3, 60):
+        w = [rng.choice(WORDS) for _ in range(rng.randrange(40))]
+        part = rng.choice(items[:12])[1].split()
+        for _ in range(rng.randrange(len(part) // 4 + 1)):
+            k = rng.randrange(len(part))
+            part[k : k + 1] = rng.choice([[], ["new"], ["new", part[k]]])
+        at = rng.randrange(len(w) + 1)
+        rows.append((i, " ".join(w[:at] + part + w[at:])))
+    rows += [rows[5], (5, "other text")]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, item_id string, edits int")
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
+    want = []
+    for i, t in rows:
+        for k, x in items:
+            if x and t:
+                d = edits_within(x.split(), t.lower().split())
+                if d <= int(0.2 * len(x.split())):
+                    want.append((i or 0, k, d))
+    for size in (20_000, 4):
+        monkeypatch.setattr(decontaminate, "PASS", size)
+        got = [(r["id"] or 0, r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench).collect()]
+        found = sorted(got)
+        assert all(x in want for x in found) and len(found) >= 0.97 * len(want) > 30
+        bad = {r[0] for r in want}
+        kept = [(r["doc_id"], r["text"]) for r in decontaminate.clean_rows(docs, bench).collect()]
+        assert (None, None) in kept and (5, "other text") in kept and len(kept) <= len(rows) - 0.95 * len(bad)
+
+
 def test_licenses(spark, empty):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x", "prose of some kind"), (3, "a/b/y", "code code code\nLicensed under CC BY-NC 4.0.\n" + "more code " * 20), (4, "c/z", "prose"), (5, None, None), (6, "ab/x", "prose")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("clash"))
