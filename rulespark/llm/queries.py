@@ -60,8 +60,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths; they get ``source/lang/hundred/id``."""
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    """The documents have no paths; they get ``source/lang/hundred/id``. A part that is null is empty, and doesn't move the others."""
+    parts = ("source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", path).withColumnRenamed("id", "doc_id")
 
 

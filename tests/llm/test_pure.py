@@ -224,12 +224,57 @@ def test_site_index_is_a_scan_of_all_rules():
         assert url_filter.site_rule(url_filter.index_sites(rules), host, path) == want
 
 
+COMMON = {w: 900 for w in ("the", "of", "to", "in", "and", "this", "is", "by", "or", "a", "for", "any", "be", "with", "that", "it")}
+
+
 def test_license_notices():
-    known = licenses.scanner({w: 900 for w in ("the", "of", "to", "in", "and", "this", "is", "by")}, 1000)
-    for name, text in licenses.TEMPLATES:
-        assert known.notices("some prose here\n" + text + "\nmore prose")[0] == name
+    known = licenses.scanner(COMMON, 1000)
+    for name, text in licenses.HEADERS:
+        assert known.notices("some prose here\n" + text + "\nmore prose")[0] == name, text
+        inside = known.notices("some prose here of no such kind and " + text + " and then more of the same prose " * 30)
+        assert inside[0] == name and not inside[2], text
     assert known.notices("the license of the house and a free public version of it is in this very long line of prose")[0] is None
-    assert known.notices("")[0] is None
+    assert known.notices("") == (None, 0.0, False)
+
+
+def test_license_files():
+    known = licenses.scanner(COMMON, 1000)
+    for name, text in licenses.TEXTS:
+        words = text.split()
+        lines = "Copyright (c) 2020 Some One\n\n" + "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+        assert known.notices(lines)[::2] == (name, True), name
+        assert known.notices(lines + "\n" + "and the terms go on with many further words of their own " * 200)[::2] == (name, True), name
+
+
+def test_licenses_against_plain_cosines():
+    """All windows of all templates' sizes, by plain TF-IDF; ties, repeated notices, one changed word."""
+    known = licenses.scanner(COMMON, 1000)
+    vocabulary = {w for _, t in licenses.HEADERS for w in licenses.words_of(t)} | {w for _, t in licenses.TEXTS for w in licenses.words_of(t)}
+    idf = {w: np.log(1001 / (1 + COMMON.get(w, 0))) + 0.1 for w in vocabulary}
+    middling = sorted(idf.values())[len(idf) // 2]
+
+    def vector(words):
+        out = {}
+        for w in words:
+            out[w] = out.get(w, 0) + 1
+        square = sum((n * idf[w]) ** 2 if w in idf else n * middling**2 for w, n in out.items())
+        return {w: n * idf[w] / square**0.5 for w, n in out.items() if w in idf}
+
+    rng = random.Random(12)
+    templates = [(n, licenses.words_of(t)) for n, t in licenses.HEADERS[:23]]
+    for _ in range(12):
+        own = rng.choice(templates)[1] * rng.choice([1, 2])
+        if len(own) > 8 and rng.random() < 0.5:
+            own[rng.randrange(len(own))] = "changed"
+        words = [f"p{rng.randrange(99)}" for _ in range(15)] + own + [f"p{rng.randrange(99)}" for _ in range(15)]
+        scores = {}
+        for name, t in templates:
+            v = vector(t)
+            best = max(sum(x * v.get(w, 0) for w, x in vector(words[i : i + len(t)]).items()) for i in range(max(1, len(words) - len(t) + 1)))
+            scores[name] = max(scores.get(name, 0), best)
+        name, score, _ = known.notices(" ".join(words))
+        top = max(scores.values())
+        assert (name is None) == (top < 0.8) and (name is None or scores[name] > top - 0.05 and abs(score - top) < 0.05)
 
 
 def all_asked(votes):
