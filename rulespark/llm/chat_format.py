@@ -21,7 +21,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, schema_of
+from .common import map_batches, schema_of, shipped
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
@@ -131,10 +131,10 @@ def _sorted_turns(df: DataFrame) -> DataFrame:
 
 def format_conversations(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per turn in order: ``conv_id``, ``position``, ``ids``, ``mask`` of that turn's part of the sequence."""
-    vocabulary = vocabulary or default_vocabulary()
+    path = shipped(df.sparkSession, vocabulary, default_vocabulary)
 
     def run(batches: Iterator[list[list]]):
-        enc, last, position = encoding(vocabulary), object(), 0
+        enc, last, position = encoding(path()), object(), 0
         for convs, _, roles, texts in batches:
             out = []
             for conv, role, text in zip(convs, roles, texts):
@@ -150,10 +150,10 @@ def format_conversations(df: DataFrame, vocabulary: str | None = None) -> DataFr
 
 def conversation_digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Formats each conversation and reads its figures back from ids and mask."""
-    vocabulary = vocabulary or default_vocabulary()
+    path = shipped(df.sparkSession, vocabulary, default_vocabulary)
 
     def run(batches: Iterator[list[list]]):
-        enc, last, now = encoding(vocabulary), None, None
+        enc, last, now = encoding(path()), None, None
         for convs, _, roles, texts in batches:
             out = []
             for conv, role, text in zip(convs, roles, texts):

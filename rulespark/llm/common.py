@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -16,11 +17,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    a temporary folder is made, and removed at exit.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset on one machine (tests) a temporary folder is made, and removed
+    at exit; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = getattr(spark, "_rulespark_shared", None)
         if local is None:
             local = spark._rulespark_shared = tempfile.mkdtemp(prefix="rulespark-")
@@ -47,6 +50,21 @@ def forget(df: DataFrame) -> None:
     jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver's collector has found unused
 
 
+def shipped(spark: SparkSession, path: str | None, default: Callable[[], str]) -> Callable[[], str]:
+    """A function that gives, in any task, the path of a copy of the driver's file; without one, of the file that ``default`` finds there."""
+    if path is None:
+        return default
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def copy() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return copy
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterable[list[list]]], schema: T.StructType) -> DataFrame:
     """``fn`` gets an iterator of batches, each a list of columns of Python values, and yields batches of output columns."""
     arrow = to_arrow_schema(schema, prefers_large_types=False)

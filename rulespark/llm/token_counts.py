@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, pick, schema_of
+from .common import map_batches, pick, schema_of, shipped
 
 #: Words, and chunks between white space, whose steps a worker remembers; beyond that it keeps as many older ones and starts anew.
 REMEMBERED = 250_000
@@ -249,10 +249,10 @@ def longest_prefix(counts: np.ndarray, budget: int) -> int:
 
 def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``id``, ``n_tokens``, ``steps`` (see :func:`counts_at`): the count at every prefix of every text."""
-    vocabulary = vocabulary or default_vocabulary()
+    path = shipped(df.sparkSession, vocabulary, default_vocabulary)
 
     def run(batches: Iterator[list[list]]):
-        count = counter(vocabulary)
+        count = counter(path())
         for ids, texts in batches:
             made = [count.text_steps(t) for t in texts]
             yield [ids, [int(m.sum(dtype=np.int64)) for m in made], [pack(m) for m in made]]
@@ -263,10 +263,10 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def token_budget(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``id``, ``n_bytes``, ``n_tokens``, ``over_limit``, ``fits_chars`` (the longest prefix within the limit), all read off the prefix counts."""
-    vocabulary = vocabulary or default_vocabulary()
+    path = shipped(df.sparkSession, vocabulary, default_vocabulary)
 
     def run(batches: Iterator[list[list]]):
-        count = counter(vocabulary)
+        count = counter(path())
         for ids, texts in batches:
             sizes, totals, fits = [], [], []
             for text in texts:

@@ -325,3 +325,27 @@ def test_pipeline_drops_by_row(spark, tmp_path):
     rows = [(1, same + " " + item), (1, alone), (None, twice + " " + item), (None, nameless), (2, None)]
     got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, alone), (None, nameless), (2, None)], key=str)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Every stage on nulls in all columns, empty and long texts, repeated rows, clashing column names, and on an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    prose = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
+    rows = [(None, None, None, None, None, 1.0, "k"), (1, "", "en", "s", 0, 2.0, "k"), (2, LONG, "en", "s", len(LONG), None, None), *[(i, prose(), "en", "s", 5, 0.9, "k") for i in range(3, 12)], (3, "again " + prose(), "en", "s", 5, 0.1, "k")]
+    rows += [rows[5], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, kept string")
+    spark.createDataFrame([(i, 1, 0) for i in range(3, 12)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "a benchmark passage of some words that no text holds " * 3), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    keys = lambda df: sorted(map(str, df.select(*docs.columns).collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns), name
+        if name == "near_dedup":  # of the equal rows with words one goes
+            assert out.count() == len(rows) - 1
+        elif name != "pii":
+            assert keys(out) == keys(docs), name
+        else:
+            assert out.count() == len(rows)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
