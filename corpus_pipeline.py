@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulespark.llm import decontaminate, mixing, near_dup, pii, toxicity
-from rulespark.llm.common import map_rows, stored
+from rulespark.llm.common import forget, map_rows, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8, one row stays: of those with the lowest id, or without any id, the one with the least
-    hash of all columns. Rows go by that hash, so of two rows that share an id each is judged by its own text. Rows without words all stay."""
+    hash of all columns. Rows go by that hash, so of two rows that share an id each is judged by its own text, and of equal rows one stays.
+    Rows without words (null, empty) all stay; an empty table stays empty; all columns stay as they are."""
     keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_more": F.xxhash64(F.lit(1), *docs.columns)})
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row", "_more").alias("doc_id"), "text")
     gone = near_dup.near_duplicates(named).filter(~F.col("kept")).select("id._row", "id._more").distinct()
@@ -37,13 +38,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go, each row judged by its own text."""
+    """Documents with a benchmark passage go, each row judged by its own text, whatever its id; null and empty texts stay, repeated rows share
+    their fate, an empty table or benchmark takes nothing away; all columns stay as they are."""
     return decontaminate.clean_rows(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind in brackets; ``n_chars`` follows the text."""
-    model = pii.train(docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    """Personal data are replaced by their kind in brackets; ``n_chars`` follows the text. Every row stays: null and empty texts as they are,
+    repeated rows alike, other columns untouched."""
+    model = pii.train(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     text, count = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def clean(*row):
@@ -58,8 +61,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each document's expected copies (``rate``) and the drawn ones (``copies``) for the target shares of good and poor text;
-    documents whose rate is 0 go."""
+    """Adds each document's expected copies (``rate``) and the drawn ones (``copies``) for the target shares of good and poor text; rows
+    whose rate is 0 go. Null and empty texts have no tokens and keep the rate of their posterior; equal rows have equal rates."""
     domains = mixing.quality_domains(_table(spark, sf_dir, "labels"), toxic=False)
     return mixing.mix_rows(docs, domains, {"good": 0.9, "poor": 0.1}).filter("rate > 0")
 
@@ -72,12 +75,15 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No stage can be put in SQL; the tests hold each against a brute-force version.
+#: No stage can be put in SQL; the tests hold each operator against brute force and the stages against planted rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        made = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            forget(docs)  # the stage before
+        docs = made
     return docs
