@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (one machine) a temporary folder, removed at exit."""
+    """``spark.checkpoint.dir``; where that is unset on one machine a temporary folder, removed at exit; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = getattr(spark, "_rulespark_tables", None)
         if local is None:
             local = spark._rulespark_tables = tempfile.mkdtemp(prefix="rulespark-")
