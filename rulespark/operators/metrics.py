@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rulespark.operators.storage import stored
 from rulespark.plans.bgp import compile_query, name
 from rulespark.plans.terms import DIFFERENT, Atom, Rule, is_variable, pca_query, plain, variables_of, without_redundant
 
@@ -160,6 +161,13 @@ def labelled_edges(kb: DataFrame) -> DataFrame:
     return kb.select(F.concat("r", F.lit("+")).alias("l"), F.col("s").alias("a"), F.col("o").alias("b")).unionAll(kb.select(F.concat("r", F.lit("-")), F.col("o"), F.col("s")))
 
 
+def coded(kb: DataFrame) -> DataFrame:
+    """The facts with entities as numbers, for counts that need no names; stored, as the numbers are only good for one run."""
+    ids = stored(kb.select(F.col("s").alias("e")).union(kb.select("o")).distinct().withColumn("id", F.monotonically_increasing_id()), "entities")
+    rows = kb.join(ids.select(F.col("e").alias("s"), F.col("id").alias("si")), "s").join(ids.select(F.col("e").alias("o"), F.col("id").alias("oi")), "o")
+    return stored(rows.select(F.col("si").alias("s"), "r", F.col("oi").alias("o")), "coded")
+
+
 def label(atom: Atom, start: str) -> str:
     return atom.r + ("+" if atom.s == start else "-")
 
@@ -167,7 +175,11 @@ def label(atom: Atom, start: str) -> str:
 def triangle_counts(kb: DataFrame, relations: Sequence[str]) -> DataFrame:
     """``head``, ``lx``, ``ly``, ``n``: for each head relation and pair of labels the head facts (x, y) with an entity z that x reaches by ``lx`` and
     y by ``ly``. One plan for all: a head fact looks for z from whichever of its ends has fewer facts, so hubs are never expanded."""
-    edges = labelled_edges(kb)
+    known = sorted(r["r"] for r in kb.select("r").distinct().collect())  # a row per relation
+    numbers = kb.sparkSession.createDataFrame([(r, i) for i, r in enumerate(known)], "r string, rn int")
+    kb = kb.join(F.broadcast(numbers), "r").select("s", F.col("rn").alias("r"), "o")
+    relations = [i for i, r in enumerate(known) if r in set(relations)]
+    edges = kb.select((2 * F.col("r")).alias("l"), F.col("s").alias("a"), F.col("o").alias("b")).unionAll(kb.select(2 * F.col("r") + 1, F.col("o"), F.col("s")))
     degree = edges.groupBy("a").agg(F.count("*").alias("deg"))
     pairs = edges.groupBy("a", "b").agg(F.collect_set("l").alias("ls"))
     heads = kb.filter(F.col("r").isin(*relations)).groupBy(F.col("s").alias("x"), F.col("o").alias("y")).agg(F.collect_set("r").alias("heads"))
@@ -178,7 +190,10 @@ def triangle_counts(kb: DataFrame, relations: Sequence[str]) -> DataFrame:
         rows = sized.filter(keep).join(near(first, f"l{first}"), first).join(near(second, f"l{second}"), [second, "z"])
         parts.append(rows.select("x", "y", "heads", "lx", "ly"))
     rows = parts[0].unionAll(parts[1]).select("x", "y", "heads", F.explode("lx").alias("lx"), "ly").select("x", "y", "heads", "lx", F.explode("ly").alias("ly"))
-    return rows.groupBy("x", "y", "lx", "ly").agg(F.first("heads").alias("heads")).select(F.explode("heads").alias("head"), "lx", "ly").groupBy("head", "lx", "ly").agg(F.count("*").alias("n"))
+    hits = rows.groupBy("x", "y", "lx", "ly").agg(F.first("heads").alias("heads")).select(F.explode("heads").alias("head"), "lx", "ly").groupBy("head", "lx", "ly").agg(F.count("*").alias("n"))
+    heading = F.element_at(F.array(*map(F.lit, known)), F.col("head") + 1)
+    side = F.array(*[F.lit(r + d) for r in known for d in "+-"])
+    return hits.select(heading.cast("string").alias("head"), F.element_at(side, F.col("lx") + 1).alias("lx"), F.element_at(side, F.col("ly") + 1).alias("ly"), "n")
 
 
 def path_of(rule: Rule) -> tuple[str, str] | None:
