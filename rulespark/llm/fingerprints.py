@@ -75,6 +75,8 @@ def chunk_weights(text: str) -> dict[int, int]:
     return found
 
 
+#: Code points of a range of ids, on average.
+BUCKET = 64_000_000
 ENTRY = np.dtype([("digest", ">u8"), ("weight", ">u4")])
 
 
@@ -103,7 +105,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     """``bucket``, ``stop``, ``id``, ``text``: whole ranges of ids in each partition, falling; behind each bucket's rows a stop row with
     the text of the first row after them. Bucket bounds are quantiles of the ids, so no bucket is large; only they are collected."""
     spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.length("text").cast("long")).alias("n")).head()["n"] or 0
+    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     bounds = docs.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("b")).head()["b"]
     bounds = sorted(set(bounds or ()))
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
