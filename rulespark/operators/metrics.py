@@ -20,6 +20,16 @@ from rulespark.plans.terms import DIFFERENT, Atom, Rule, is_variable, pca_query,
 BATCH = 20_000
 
 
+#: Shapes of rules in one job.
+SHAPES = 12
+
+
+def collected(parts: Sequence[DataFrame]):
+    """The rows of all frames, ``SHAPES`` of them in a job."""
+    for k in range(0, len(parts), SHAPES):
+        yield from reduce(DataFrame.unionAll, parts[k : k + SHAPES]).collect()
+
+
 # --- one rule
 
 
@@ -143,7 +153,7 @@ def batch_counts(spark: SparkSession, kb: DataFrame, queries: Sequence[tuple[int
             number = {v: n for n, v in enumerate(variables_of(a for a in atoms if plain(a.r) != DIFFERENT))}
             groups[shape, k, tuple(sorted(number[v] for v in counted[i]))].append((i, atoms))
     parts = [batch_bindings(spark, kb, members, kept).groupBy("rid").agg(F.count("*").alias("n")) for (_, _, kept), members in groups.items()]
-    for row in reduce(DataFrame.unionAll, parts).collect() if parts else ():  # all shapes in one job
+    for row in collected(parts):
         out[row["rid"]] = row["n"]
     return out
 
@@ -265,6 +275,6 @@ def batch_body_sizes(spark: SparkSession, kb: DataFrame, rules: Sequence[Rule],
             domain = domains[counted].withColumn("known", F.lit(1))
             rows = rows.join(F.broadcast(heads), "rid").withColumn("e", entity).join(domain, ["r", "e"], "left")  # heads: at most BATCH rows
             parts.append(rows.groupBy("rid").agg(F.count("*").alias("n"), F.count("known").alias("p")))
-    for row in reduce(DataFrame.unionAll, parts).collect() if parts else ():  # all shapes in one job
+    for row in collected(parts):
         out[row["rid"]] = row["n"], row["p"]
     return [out[i] for i in range(len(rules))]
