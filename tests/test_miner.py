@@ -134,8 +134,8 @@ def test_four_atoms_as_nested_loops(spark):
     rng = random.Random(5)
     facts = sorted({(f"e{rng.randrange(4)}", f"r{rng.randrange(2)}", f"e{rng.randrange(4)}") for _ in range(11)})
     kb = spark.createDataFrame(facts, "s string, r string, o string")
-    mined = Miner(kb, Config(max_atoms=4, min_head_size=3, min_head_coverage=0.6, min_pca_confidence=0.3, head_targets=frozenset(["r0"]))).mine()
-    want = brute(facts, 0.6, 3, 0.3, most=4, heads=["r0"])
+    mined = Miner(kb, Config(max_atoms=4, min_head_size=3, min_head_coverage=0.6, min_pca_confidence=0.3, head_targets=frozenset(["r1"]))).mine()
+    want = brute(facts, 0.6, 3, 0.3, most=4, heads=["r1"])
     assert {key_of(r): (r.support, r.body_size, r.pca_body_size) for r in mined} == want and any(r.length == 4 for r in mined)
 
 
