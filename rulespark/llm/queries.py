@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, fingerprints, licenses, mixing, near_dup, pii, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dup, pii, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", path).withColumnRenamed("id", "doc_id")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least_chars=20, least_documents=3)
+    return made.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dup": op2_near_dup,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_license_scan": op10_license_scan,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,5 +121,16 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(erole) + length(etext) + length('<|im_start|><|im_sep|><|im_end|>'))::BIGINT AS formatted_chars
 FROM written GROUP BY conv_id
+""",
+    "op11_line_dedup": r"""
+WITH lines AS (
+  SELECT row, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+        FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+repeated AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.*, r.key IS NOT NULL AND doc_id <> keeper AS gone FROM lines l LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row, doc_id
 """,
 }
