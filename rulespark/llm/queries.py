@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dup, pii, token_counts, toxicity, url_filter
+from . import alignment, chat_format, collocations, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dup, pii, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, percent=50, top=2000)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dup": op2_near_dup,
@@ -83,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_license_scan": op10_license_scan,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,5 +142,31 @@ marked AS (SELECT l.*, r.key IS NOT NULL AND doc_id <> keeper AS gone FROM lines
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY row, doc_id
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, c AS cut, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS fst, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS rst
+  FROM counts, (VALUES (1), (2)) AS t(c) WHERE k >= 2 AND c < k),
+scores AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * x.a * x.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts x JOIN counts l ON l.lang = x.lang AND l.phrase = x.fst AND l.k = x.cut JOIN counts r ON r.lang = x.lang AND r.phrase = x.rst AND r.k = x.k - x.cut),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+around AS (
+  SELECT lang, inner_phrase, max(f) AS longer
+  FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS inner_phrase FROM counts WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.inner_phrase = b.phrase AND b.k = 2 WHERE coalesce(100 * o.longer, 0) < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """,
 }
