@@ -33,8 +33,8 @@ BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + BREAKS + SPACES, bytes(range(97, 123)) + b"\n" * len(BREAKS) + b" " * len(SPACES))
 #: Of a filter of frequent phrases: 32 MB.
 MOST_BITS = 28
-#: Rows that a task adds up, and words that it remembers, before it hands them on.
-HELD, REMEMBERED = 1 << 19, 1 << 20
+#: Rows that a task adds up, and words that it remembers, before it hands them on; code points that it takes at a time.
+HELD, REMEMBERED, TAKEN = 1 << 17, 1 << 18, 1 << 20
 PARTS = 64
 
 ROWS = "lang string, phrase string, n long"
@@ -59,8 +59,23 @@ def text_hashes(lang: str, phrases: list[str], k: int) -> np.ndarray:
     return phrase_hashes(lang, flat, np.arange(len(phrases)) * k, k)
 
 
-def _frame(langs: list[str], phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+def _frames(lang: str, phrases: list[bytes], counts: list[int], size: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(phrases), size):
+        own = pa.array(phrases[k : k + size], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(counts[k : k + size], pa.int64())], names=["lang", "phrase", "n"])
+
+
+def in_turns(langs: list[str], texts: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """Texts by language, some at a time."""
+    waiting: dict[str, list[str]] = {}
+    held = 0
+    for lang, text in zip(langs, texts):
+        waiting.setdefault(lang, []).append(text)
+        held += len(text)
+        if held >= TAKEN:
+            yield from waiting.items()
+            waiting, held = {}, 0
+    yield from waiting.items()
 
 
 def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,14 +87,16 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.pop(b"", None)
             own.pop(b"\n", None)
             if own:
-                yield _frame([lang] * (len(own) + 1), [b"", *own], [sum(own.values()), *own.values()])
+                yield from _frames(lang, [b"", *own], [sum(own.values()), *own.values()])
         found.clear()
 
     for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found.setdefault(lang, Counter()).update(tokens(text))
-        if sum(map(len, found.values())) >= HELD:
-            yield from made()
+        for lang, texts in in_turns(*(c.to_pylist() for c in batch.columns)):
+            own = found.setdefault(lang, Counter())
+            for text in texts:
+                own.update(tokens(text))
+            if sum(map(len, found.values())) >= HELD:
+                yield from made()
     yield from made()
 
 
@@ -139,10 +156,8 @@ class Exploder:
             _, first, counts = np.unique(code, return_index=True, return_counts=True)
             names = self.names
             phrases = [b" ".join([names[i] for i in gram]) for gram in grams[first].tolist()]
-            yield _frame([self.lang] * len(phrases), phrases, counts.tolist())
+            yield from _frames(self.lang, phrases, counts.tolist())
         self.found, self.held = [], 0
-        if len(self.number) >= REMEMBERED:
-            self.start()
 
 
 def phrase_rows(k: int, shapes: list[bloom.Shape], sent):
@@ -150,15 +165,16 @@ def phrase_rows(k: int, shapes: list[bloom.Shape], sent):
         filters = [bloom.Bits(shape, rows) for shape, rows in zip(shapes, sent.value)]
         by_lang: dict[str, Exploder] = {}
         for batch in batches:
-            texts: dict[str, list[str]] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                texts.setdefault(lang, []).append(text)
-            for lang, own in texts.items():
+            for lang, own in in_turns(*(c.to_pylist() for c in batch.columns)):
                 if lang not in by_lang:
                     by_lang[lang] = Exploder(lang, k, filters[0], filters[-1])
                 by_lang[lang].add(own)
-                if by_lang[lang].held >= HELD or len(by_lang[lang].number) >= REMEMBERED:
-                    yield from by_lang[lang].rows()
+                forget = sum(len(x.number) for x in by_lang.values()) >= REMEMBERED
+                if forget or sum(x.held for x in by_lang.values()) >= HELD:
+                    for x in by_lang.values():
+                        yield from x.rows()
+                if forget:
+                    by_lang.clear()
         for one in by_lang.values():
             yield from one.rows()
 

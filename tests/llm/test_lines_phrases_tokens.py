@@ -136,13 +136,12 @@ def test_scores_are_exact(spark):
 
 
 def test_phrases_are_added_up_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "HELD", 50)
-    monkeypatch.setattr(collocations, "REMEMBERED", 4)
+    monkeypatch.setattr(collocations, "TAKEN", 50)
     rows = phrase_texts()[:200]
     made = collocations.Exploder("en", 2, *[bloom.Bits(bloom.Shape(0), [(k, b"\xff" * (1 << 13)) for k in range(128)])] * 2)
     found = Counter()
-    for text, _ in rows:
-        made.add([text])
+    for _, own in collocations.in_turns(["en"] * len(rows), [t for t, _ in rows]):
+        made.add(own)
         for batch in made.rows():
             for p, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found[p] += n
