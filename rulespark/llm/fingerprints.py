@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import map_batches, map_rows, pick, schema_of
 
@@ -77,6 +77,8 @@ def chunk_weights(text: str) -> dict[int, int]:
 
 #: Code points of a range of ids, on average.
 BUCKET = 64_000_000
+#: Rows looked at for each range, where ids are no numbers.
+SAMPLED = 50
 ENTRY = np.dtype([("digest", ">u8"), ("weight", ">u4")])
 
 
@@ -101,14 +103,25 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_rows(pick(df, id_col, text_col), lambda i, t: (i, len(t), to_string(chunk_weights(t))), schema_of(f"id {kind}, n_chars long, fingerprint string"))
 
 
+def range_bounds(docs: DataFrame, n: int) -> list:
+    """Up to n - 1 ids that cut all rows into parts of about one size. Numbers' quantiles; of other types quantiles of the ``SAMPLED * n`` rows
+    that come first by a hash. They say where ranges end, not what is in them."""
+    if isinstance(docs.schema["id"].dataType, T.NumericType):
+        found = docs.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("b")).head()["b"] or ()
+    else:
+        rows = docs.filter("id is not null").select("id", F.xxhash64("id", "text").alias("h")).orderBy("h", "id").limit(SAMPLED * n).collect()
+        ids = sorted(bytes(r["id"]) if isinstance(r["id"], bytearray) else r["id"] for r in rows)
+        found = [ids[i * len(ids) // n] for i in range(1, n)] if ids else ()
+    return sorted(set(found))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """``bucket``, ``stop``, ``id``, ``text``: whole ranges of ids in each partition, falling; behind each bucket's rows a stop row with
     the text of the first row after them. Bucket bounds are quantiles of the ids, so no bucket is large; only they are collected."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length("text").cast("long")).alias("n")).head()["n"] or 0
     n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
-    bounds = docs.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("b")).head()["b"]
-    bounds = sorted(set(bounds or ()))
+    bounds = range_bounds(docs, n)
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
     docs = docs.withColumn("bucket", bucket).select("bucket", "id", "text")
     heads = docs.groupBy("bucket").agg(F.max("id").alias("id")).collect()

@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], sample:
             made = [text_features(t) for t in texts]
             yield [[m[1] for m in made], [m[2] for m in made], [number[d] for d in names]]
 
-    rows = docs.join(F.broadcast(known), "id").select("text", "domain")  # bounded by sample
+    rows = docs.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("domain").alias("domain"))  # one text an id, so bounded by sample
+    rows = rows.select("text", "domain")
     return fit([tuple(r) for r in map_batches(rows, run, schema_of("bins array<int>, stats array<double>, y int")).collect()], domains)
 
 

@@ -39,13 +39,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_OPEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
+_MARK = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]+")
 _SOME = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.I)
 _RUN = re.compile(r"\(?[0-9](?:[ ()./-]{0,3}[0-9])*+")
 _AT, _DOT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*", re.I), re.compile(r"\s*[\[(]\s*dot\s*[\])]\s*", re.I)
 _SIGN = re.compile(r"[\[(] ?at ?[\])]", re.I)
-_SPELT = re.compile(r"[^\s\[\]()]{1,64}\s?[\[(] ?at ?[\])]\s?[^\s\[\]()]{1,64}(?:\s?[\[(] ?dot ?[\])]\s?[^\s\[\]()]{1,64})*+", re.I)
+_SPELT_END = re.compile(r"\s?[^\s\[\]()]++(?:\s?[\[(] ?dot ?[\])]\s?[^\s\[\]()]++)*+", re.I)
 
 Span = tuple[str, int, int]
 
@@ -173,6 +174,25 @@ class Graph:
         return [kinds[root(i)] for i in range(len(group))]
 
 
+def spelt(text: str) -> list[tuple[int, int]]:
+    """Addresses around a spelt-out ``[at]``: from each sign outward, over characters that are no blanks or brackets."""
+    out, done = [], 0
+    for m in _SIGN.finditer(text):
+        end = _SPELT_END.match(text, m.end())
+        start = m.start()
+        if start > done and text[start - 1].isspace():
+            start -= 1
+        stop = start
+        while start > done and not (text[start - 1].isspace() or text[start - 1] in "[]()"):
+            start -= 1
+        if end and start < stop:
+            out.append((start, end.end()))
+            done = end.end()
+        else:
+            done = max(done, m.start())
+    return out
+
+
 def graph(text: str, base: list[Span]) -> Graph | None:
     """None if there is no open mention."""
     taken = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
@@ -180,10 +200,10 @@ def graph(text: str, base: list[Span]) -> Graph | None:
     for a, b, k in taken:  # of overlapping base spans the first stands for the node
         if not merged or a >= merged[-1][1]:
             merged.append((a, b, k))
-    whole = [m.span() for m in _SPELT.finditer(text)] if _SIGN.search(text) else []
+    whole = spelt(text)
     whole += [m.span() for m in _RUN.finditer(text) if 7 <= sum(map(len, _DIGITS.findall(m[0]))) <= 19]
     opened = _apart(_trimmed(text, sorted(whole)), merged)
-    opened += _apart(_trimmed(text, [m.span() for m in _OPEN.finditer(text)]), sorted([*merged, *((a, b, -1) for a, b in opened)]))
+    opened += _apart(_trimmed(text, [m.span() for m in _TOKEN.finditer(text) if _MARK.search(m[0])] if _MARK.search(text) else []), sorted([*merged, *((a, b, -1) for a, b in opened)]))
     if not opened:
         return None
     nodes = sorted([*merged, *((a, b, -1) for a, b in opened)])
@@ -236,8 +256,9 @@ class Potentials:
     skip: np.ndarray
 
 
-def beliefs(g: Graph, p: Potentials, rounds: int = 8) -> np.ndarray:
-    """Sum-product on the graph, all messages at once, with damping."""
+def beliefs(g: Graph, p: Potentials, close: float = 1e-3) -> np.ndarray:
+    """Sum-product on the graph, all messages at once, with damping, until none moves by more than ``close``; loops that never settle are
+    read off after a thousand rounds."""
     n, c = len(g.spans), len(CLASSES)
     unary = np.array([p.node[f].sum(0) for f in g.features])
     seen = g.observed >= 0
@@ -252,14 +273,17 @@ def beliefs(g: Graph, p: Potentials, rounds: int = 8) -> np.ndarray:
         both[len(pairs) :] = both[len(pairs) :].transpose(0, 2, 1)
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         msg = np.zeros((len(src), c))
-        for _ in range(rounds):
+        for _ in range(1000):
             total = unary.copy()
             np.add.at(total, dst, msg)
             out = total[src] - msg[back]
             new = (out[:, :, None] + both).max(1, keepdims=True)
             new = np.log(np.exp(out[:, :, None] + both - new).sum(1)) + new[:, 0]
             new -= new.max(1, keepdims=True)
+            moved = np.abs(new - msg).max()
             msg = 0.5 * msg + 0.5 * new
+            if moved <= close:
+                break
         np.add.at(unary, dst, msg)
     unary -= unary.max(1, keepdims=True)
     e = np.exp(unary)

@@ -31,6 +31,7 @@ from .common import map_batches, pick, schema_of, shipped
 REMEMBERED = 250_000
 #: White space other than the plain space, one code point at a time.
 SPACE = regex.compile(r"[\p{White_Space}--\x20]", regex.V1)
+LETTERS, SIGNS = regex.compile(r"\p{L}+"), regex.compile(r"[^\p{White_Space}\p{L}\p{N}]+")
 
 
 def default_vocabulary() -> str:
@@ -46,6 +47,41 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@cache
+def joining() -> frozenset[str]:
+    """Code points of combining class 0 that may compose with one before them: second parts of canonical decompositions, and Hangul vowels and finals."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split(" ")
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+def segments(part: str) -> list[str]:
+    """The text cut before each code point that no normal form joins with what is before it."""
+    may = joining()
+    cuts = [i for i, ch in enumerate(part) if i == 0 or ch < "\u0300" or not (ch in may or unicodedata.combining(ch))]
+    return [part[a:b] for a, b in zip(cuts, [*cuts[1:], len(part)])]
+
+
+def prefixes(segment: str, normal) -> Iterator[tuple[int, str | None]]:
+    """(length of the normal form, None) of each prefix of a segment whose normal form is a prefix of the segment's, and (0, normal form) of others. A
+    mark of the class of the last one there is only put behind; so only runs of marks of mixed classes are normalised again for each prefix."""
+    whole = normal(segment)
+    own, fits = "", True
+    for k, ch in enumerate(segment, 1):
+        c = unicodedata.combining(ch)
+        if own and c and c == unicodedata.combining(own[-1]) and unicodedata.is_normalized("NFC", ch):
+            more = normal(ch)
+            fits = fits and whole.startswith(more, len(own))
+            own += more
+        else:
+            own = normal(segment[:k])
+            fits = whole.startswith(own)
+        yield (len(own), None) if fits else (0, own)
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -67,6 +103,8 @@ class PrefixCounter:
         self.pair_ok: dict[tuple[str, str], bool] = {}
         self.states: dict[tuple[str, bool], tuple] = {}
         self.made = {t: self.last_merge(t) for t in self.vocab}
+        #: Ends of tokens: a longer end of a text can only be a token if this end of it is the end of one.
+        self.suffixes = {t[i:] for t in self.vocab for i in range(len(t.removesuffix(self.end)))}
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -109,51 +147,7 @@ class PrefixCounter:
 
     def word_steps(self, word: str) -> bytes:
         """Steps between the token counts of a piece's first 0, 1, 2, ... code points, each cut taken as a word of its own."""
-        made, end, ok = self.made, self.end, self.pair_ok
-        raw = "".join([self.letters[b] for b in word.encode()]) if not (word.isascii() and word.isprintable()) else word
-        ends = None
-        if len(raw) != len(word):
-            ends, at = set(), 0
-            for ch in word:
-                at += len(ch.encode())
-                ends.add(at)
-        tokens, counts, starts = [""], [0], [0]  # inside the word, after so many letters: the last token, the count, where that token starts
-        steps, before = bytearray(), 0
-        states = self.states
-        for n in range(1, len(raw) + 1):
-            whole = ends is None or n in ends
-            key = raw[:n], whole
-            if (last := states.get(key)) is None:
-                found = []
-                for suffix in ("", end) if whole else ("",):
-                    first = starts[n - 1]  # most often the last token goes on; any order finds the same one
-                    for start in (first, *range(n - 1, first, -1), *range(first - 1, max(-1, n - self.longest - 1), -1)):
-                        token = raw[start:n] + suffix
-                        if made.get(token):
-                            if start == 0:
-                                break
-                            pair = tokens[start], token
-                            if (fit := ok.get(pair)) is None:
-                                if len(ok) > 500_000:
-                                    ok.clear()
-                                fit = ok[pair] = self.fits(*pair)
-                            if fit:
-                                break
-                    else:
-                        raise ValueError(f"no token ends {raw[:n]!r}")
-                    found.append((token, counts[start] + 1, start))
-                last = *found[0], found[-1][1]
-                if n <= 64:
-                    if len(states) > 2 * REMEMBERED:
-                        states.clear()
-                    states[key] = last
-            if whole:
-                steps.append((last[3] - before) & 255)
-                before = last[3]
-            tokens.append(last[0])
-            counts.append(last[1])
-            starts.append(last[2])
-        return bytes(steps)
+        return Walk(self).go_on(word)
 
     def piece_steps(self, piece: str) -> bytes:
         """A cut inside a contraction leaves other pieces; those are counted anew."""
@@ -222,10 +216,122 @@ class PrefixCounter:
             if len(low) == len(part) and unicodedata.is_normalized("NFC", part):
                 out.append(self._normal_steps(low))
             else:
-                counts = [0] + [int(self._normal_steps(self.normal(part[:k])).sum(dtype=np.int64)) for k in range(1, len(part) + 1)]
-                out.append(np.diff(counts).astype(np.int8))
+                out.append(np.diff(self._part_counts(part, low)).astype(np.int8))
         return np.concatenate(out) if out else np.zeros(0, np.int8)
 
+    def _part_counts(self, part: str, low: str) -> list[int]:
+        """Counts at the prefixes of a part between white space. The normal form of most prefixes is a prefix of the normal form, whose counts
+        are read off; one that ends inside a sequence of combining marks differs from it in its last letters alone, and only those are walked anew."""
+        at = np.concatenate([[0], np.cumsum(self._normal_steps(low), dtype=np.int64)])
+        counts, done, ends = [0], 0, []
+        for segment in segments(part):
+            for n, own in prefixes(segment, self.normal):
+                if own is not None:
+                    ends.append((len(counts), done, own))
+                counts.append(int(at[done + n]))
+            done += n
+        if ends:
+            pieces = [m.span() for m in self.split.finditer(low)]
+            p, walk, walked = 0, None, -1
+            for k, done, own in ends:  # in order
+                while p < len(pieces) and pieces[p][1] < done:
+                    p += 1
+                start = pieces[p][0] if done and p < len(pieces) else done
+                if 0 < p < len(pieces) and done - start <= 2 and low[slice(*pieces[p - 1])] == "'":
+                    start -= 1  # it may become a contraction
+                if done - start <= 64:
+                    counts[k] = int(at[start]) + sum(sum(self._signed(self.piece_steps(x))) for x in self.split.findall(low[start:done] + own))
+                else:  # a long run of letters, or of signs; what goes on with it and what doesn't
+                    if walked != p:
+                        walk, walked = Walk(self), p
+                        walk.go_on(low[pieces[p][0] : pieces[p][1]])
+                    kind = LETTERS if LETTERS.match(low[done - 1]) else SIGNS
+                    joined = m[0] if (m := kind.match(own)) else ""
+                    rest = sum(sum(self._signed(self.piece_steps(x))) for x in self.split.findall(own[len(joined) :]))
+                    counts[k] = int(at[start]) + walk.count_with(done - start, joined) + rest
+        return counts
+
+    @staticmethod
+    def _signed(steps: bytes) -> list[int]:
+        return np.frombuffer(steps, np.int8).tolist()
+
+
+class Walk:
+    """The dynamic program along one piece: behind each letter the last token and the count."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.own = counter
+        self.tokens, self.counts = [""], [0]
+        self.raw, self.from_start, self.last = "", True, 0
+        self.finals, self.letters = [0], [0]  # by code point: the count of the piece cut there, and its letters
+
+    def go_on(self, word: str) -> bytes:
+        """Walks on over more code points; gives their steps."""
+        own = self.own
+        made, end, ok, states, suffixes = own.made, own.end, own.pair_ok, own.states, own.suffixes
+        raw = "".join([own.letters[b] for b in word.encode()]) if not (word.isascii() and word.isprintable()) else word
+        ends = None
+        base = len(self.raw)
+        if len(raw) != len(word):
+            ends, n = set(), base
+            for ch in word:
+                n += len(ch.encode())
+                ends.add(n)
+        tokens, counts = self.tokens, self.counts
+        line = self.raw = self.raw + raw
+        steps, before = bytearray(), self.finals[-1]
+        for n in range(base + 1, len(line) + 1):
+            whole = ends is None or n in ends
+            key = (line[:n], whole) if self.from_start and n <= 64 else None
+            if key is None or (last := states.get(key)) is None:
+                found = []
+                for suffix in ("", end) if whole else ("",):
+                    for start in range(n - 1, max(-1, n - own.longest - 1), -1):
+                        token = line[start:n] + suffix
+                        if token not in suffixes:
+                            start = -1
+                            break
+                        if made.get(token):
+                            if start == 0 and self.from_start:
+                                break
+                            pair = tokens[start], token
+                            if (fit := ok.get(pair)) is None:
+                                if len(ok) > 500_000:
+                                    ok.clear()
+                                fit = ok[pair] = own.fits(*pair)
+                            if fit:
+                                break
+                    else:
+                        start = -1
+                    if start < 0:
+                        raise ValueError(f"no token ends {line[max(0, n - 64) : n]!r}")
+                    found.append((token, counts[start] + 1))
+                last = *found[0], found[-1][1]  # token and count inside the word, count at its end
+                if key is not None:
+                    if len(states) > 2 * REMEMBERED:
+                        states.clear()
+                    states[key] = last
+            if whole:
+                steps.append((last[2] - before) & 255)
+                before = self.last = last[2]
+                self.finals.append(before)
+                self.letters.append(n)
+            tokens.append(last[0])
+            counts.append(last[1])
+        return bytes(steps)
+
+    def count_with(self, n: int, more: str) -> int:
+        """The count of the piece's first n code points with others behind them, walked on from a copy of what is less than a token before."""
+        if not more:
+            return self.finals[n]
+        base = self.letters[n]
+        low = max(0, base - self.own.longest - 1)
+        part = Walk(self.own)
+        part.tokens, part.counts = self.tokens[low : base + 1], self.counts[low : base + 1]
+        part.raw, part.from_start = self.raw[low:base], low == 0
+        part.go_on(more)
+        return part.last
+
 
 @cache
 def counter(path: str) -> PrefixCounter:

@@ -221,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, folds: int =
     """``docs``: ``id``, ``text``; ``labels``: ``id``, ``label``, training rows alone. ``most`` bounds a found list's terms."""
     known = labels.filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = docs.join(F.broadcast(known), "id").groupBy("text").agg(F.max("label").alias("label"))  # bounded by sample
+    own = docs.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # one text an id, so bounded by sample
+    own = own.groupBy("text").agg(F.max("label").alias("label"))
     texts = stored(own.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold")), "toxicity-sample")
 
     terms = map_rows(texts, lambda text, label, fold: (fold, label, sorted(terms_of(set(WORD.findall(text.lower()))))), schema_of("fold int, label int, terms array<string>"))
