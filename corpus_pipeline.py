@@ -28,13 +28,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8, one row stays: of those with the lowest id, or without any id, the one with the least
     hash of all columns. Rows go by that hash, so of two rows that share an id each is judged by its own text, and of equal rows one stays.
-    Rows without words (null, empty) all stay; an empty table stays empty; all columns stay as they are."""
-    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_more": F.xxhash64(F.lit(1), *docs.columns)})
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row", "_more").alias("doc_id"), "text")
-    gone = near_dup.near_duplicates(named).filter(~F.col("kept")).select("id._row", "id._more").distinct()
+    Rows without words (null, empty) all stay; an empty table stays empty; all columns stay as they are, whatever their names and types."""
+    key = "row"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    values = [F.to_json(F.struct(q)) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(q) for c, q in quoted.items()]  # maps have no hash
+    keyed = docs.withColumn(key, F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b")))
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col(key).alias("row")).alias("doc_id"), "text")
+    gone = near_dup.near_duplicates(named).filter(~F.col("kept")).select(F.col("id.row").alias(key)).distinct()
     worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^ \\t\\n\\r\\x0B\\f]")
-    kept = keyed.filter(worded).join(gone, ["_row", "_more"], "left_anti").dropDuplicates(["_row", "_more"])  # equal rows share a hash
-    return kept.select(*docs.columns).union(docs.filter(~worded))
+    kept = keyed.filter(worded).join(gone, key, "left_anti").dropDuplicates([key])  # equal rows share a hash
+    return kept.select(*quoted.values()).unionAll(docs.filter(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Personal data are replaced by their kind in brackets; ``n_chars`` follows the text. Every row stays: null and empty texts as they are,
     repeated rows alike, other columns untouched."""
     model = pii.train(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    text, count = docs.columns.index("text"), docs.columns.index("n_chars")
+    text, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def clean(*row):
         if not row[text]:
