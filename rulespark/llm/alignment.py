@@ -20,9 +20,12 @@ side don't join to the text with its space, have no tokens: zeros and an empty d
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import zstandard
@@ -33,7 +36,9 @@ from .common import map_batches, pick, schema_of, shipped, stored
 from .token_counts import byte_letters
 
 #: Tokens in a row of events, and words whose ids a worker remembers (twice).
-BLOCK, REMEMBERED = 1 << 14, 200_000
+BLOCK, REMEMBERED = 1 << 14, 150_000
+#: Characters that a task encodes at a time.
+TAKEN = 1 << 20
 BROADCAST_PAIRS = 1 << 22
 HELD_PAIRS = 1 << 20
 
@@ -50,10 +55,16 @@ def default_b() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: A space that no word follows, or a text that doesn't begin with a word.
+_ODD = re.compile(r"(?:\A| )(?:\s|\Z)")
+#: The pre-tokenizer of byte-level BPE, a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def words_of(text: str) -> list[str]:
     """The text cut at single spaces that a word's first character follows and no space goes before; the cuts' spaces are left out."""
     parts = text.split(" ")
-    if not any(not p or p[0].isspace() for p in parts):
+    if not _ODD.search(text):
         return parts
     out, before = parts[:1], parts[0]
     for p in parts[1:]:
@@ -83,10 +94,30 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.quick = self.ranked(a)
         self.kind = np.dtype("<u2" if max(max(self.a_bytes), max(self.b_bytes)) < 1 << 16 else "<u4")
+        self.sizes = self.lengths()
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
         self.older: dict[str, tuple[bytes, bytes, bool]] = {}
 
+    def ranked(self, path: str):
+        """The same vocabulary for a faster encoder, if it is plain byte-level BPE whose merges are in the order of their ids; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"] for t in spec["added_tokens"]}
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        merged = [model["vocab"].get(x + y, -1) for x, y in pairs]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec["normalizer"]
+        if not plain or merged != sorted(set(merged)) or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        ranks = {self.a_bytes[i]: i for t, i in model["vocab"].items() if t not in special}
+        if len(ranks) != len(merged) + 256 or min(merged) <= max(i for t, i in model["vocab"].items() if t not in special and len(t) == 1):
+            return None
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for own in (self.a_bytes, self.b_bytes):
@@ -96,8 +127,30 @@ class Encoders:
         return tuple(out)
 
     def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of words, and whether their bytes are the words'. Ordinary words of old scripts, on which all versions of Unicode agree, are encoded as
+        one text and cut apart by their bytes; others one by one."""
         made = {}
-        both = zip(words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1))
+        usual = [w for w in words if w and not w[0].isspace() and w[-1] != " " and max(w) < "\u0250"] if self.quick and self.by_word else []
+        if usual:
+            line = " " + " ".join(usual)
+            ends = np.cumsum([len(w.encode()) + 1 for w in usual])
+            sides = []
+            for side, ids in enumerate((self.quick.encode_ordinary(line), self.b.encode(line[1:], num_threads=1))):
+                at = np.cumsum(self.sizes[side][ids])
+                cut = np.searchsorted(at, ends)
+                if not (at[-1] == ends[-1] and (at[np.minimum(cut, len(at) - 1)] == ends).all()):
+                    sides = []
+                    break
+                blob, width = np.array(ids, self.kind).tobytes(), self.kind.itemsize
+                cut = ((cut + 1) * width).tolist()
+                sides.append([blob[x:y] for x, y in zip([0, *cut], cut)])
+            if sides:
+                whole = line.encode()
+                byte = [b"".join(map(own.__getitem__, np.frombuffer(b"".join(side), self.kind).tolist())) for own, side in zip((self.a_bytes, self.b_bytes), sides)]
+                if byte[0] == byte[1] == whole:
+                    made = {w: (x, y, True) for w, x, y in zip(usual, *sides)}
+        rest = [w for w in words if w not in made]
+        both = zip(rest, self.a.encode_batch([" " + w for w in rest], add_special_tokens=False), self.b.encode(rest, num_threads=1)) if rest else ()
         for w, a, b in both:
             whole = (" " + w).encode()
             fits = b"".join(map(self.a_bytes.__getitem__, a.ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
@@ -107,21 +160,22 @@ class Encoders:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """None: the tokens' bytes aren't the text's, or the text is empty."""
         cut = [words_of(t) if self.by_word else [t] for t in texts]
-        known, new, long = self.known, {}, {}
-        for w in {w for own in cut for w in own}:
-            if w not in known:
-                seen = self.older.get(w)
-                (new if seen is None else known)[w] = seen
+        known, older, new = self.known, self.older, []
+        for w in set(chain.from_iterable(cut)).difference(known):
+            if (seen := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = seen
         if new:
-            got = self.learn(list(new))
-            long = {w: v for w, v in got.items() if len(w) > 64}
-            known.update((w, v) for w, v in got.items() if len(w) <= 64)
+            known.update(self.learn(new))
         out = []
         for text, own in zip(texts, cut):
-            parts = [long[w] if len(w) > 64 else known[w] for w in own]
-            a, b = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-            fits = bool(text) and (all([p[2] for p in parts]) or self.joined(a, b, text))
-            out.append((a, b) if fits else None)
+            a, b, fit = zip(*map(known.__getitem__, own))
+            a, b = b"".join(a), b"".join(b)
+            out.append((a, b) if text and (all(fit) or self.joined(a, b, text)) else None)
+        for w in new:
+            if len(w) > 64:
+                del known[w]
         if len(known) > REMEMBERED:
             self.known, self.older = {}, known
         return out
@@ -136,6 +190,17 @@ def encoders(a: str, b: str) -> Encoders:
     return Encoders(a, b)
 
 
+def in_turns(batches: Iterator[list[list]]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, about a million characters at a time."""
+    for ids, texts in batches:
+        at = 0
+        ends = np.cumsum([len(t) for t in texts])
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKEN, "right")))
+            yield ids[at:end], texts[at:end]
+            at = end
+
+
 EVENTS = "doc long, offset long, side int, ids binary, id {0}"
 
 
@@ -144,10 +209,10 @@ def events(rows: DataFrame, a, b) -> DataFrame:
 
     def run(batches: Iterator[list[list]]):
         own = encoders(a(), b())
-        lengths = own.lengths()
+        lengths = own.sizes
         shrink = zstandard.ZstdCompressor(level=3).compress
         doc = TaskContext.get().partitionId() << 40
-        for ids, texts in batches:
+        for ids, texts in in_turns(batches):
             out = []
             for i, got in zip(ids, own.encode(texts)):
                 doc += 1
@@ -186,9 +251,11 @@ class Sweep:
         self.at[side] = int(ends[-1])
         self.ids[side] = np.concatenate([self.ids[side], ids])
         self.ends[side] = np.concatenate([self.ends[side], ends])
-        common = np.intersect1d(*self.ends)
-        if len(common):
-            self.close(common)
+        ea, eb = self.ends
+        if len(ea) and len(eb):
+            common = ea[eb[np.minimum(np.searchsorted(eb, ea), len(eb) - 1)] == ea]
+            if len(common):
+                self.close(common[np.append(True, common[1:] != common[:-1])])
 
     def close(self, common: np.ndarray) -> None:
         n = [int(np.searchsorted(e, common[-1], "right")) for e in self.ends]
@@ -227,7 +294,7 @@ def swept(found: DataFrame, a, b) -> DataFrame:
 
     def run(batches: Iterator[list[list]]):
         own = encoders(a(), b())
-        machine, begun = Sweep(own.lengths(), own.kind), False
+        machine, begun = Sweep(own.sizes, own.kind), False
         grow = zstandard.ZstdDecompressor().decompress
         for _, offsets, sides, blobs, ids in batches:
             out = []
