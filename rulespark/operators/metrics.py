@@ -182,24 +182,30 @@ def label(atom: Atom, start: str) -> str:
     return atom.r + ("+" if atom.s == start else "-")
 
 
-def triangle_counts(kb: DataFrame, relations: Sequence[str]) -> DataFrame:
-    """``head``, ``lx``, ``ly``, ``n``: for each head relation and pair of labels the head facts (x, y) with an entity z that x reaches by ``lx`` and
-    y by ``ly``. One plan for all: a head fact looks for z from whichever of its ends has fewer facts, so hubs are never expanded."""
-    known = sorted(r["r"] for r in kb.select("r").distinct().collect())  # a row per relation
+def triangles(kb: DataFrame, known: Sequence[str], relations: Sequence[str]) -> DataFrame:
+    """``x``, ``y``, ``heads``, ``lx``, ``ly``: for each pair joined by a head relation and each entity z next to both, the labels from x and from y to z. Relations are
+    their places in ``known``, labels twice that, one more for objects. One plan for all: a head fact looks for z from whichever of its ends has fewer
+    facts, so hubs are never expanded."""
     numbers = kb.sparkSession.createDataFrame([(r, i) for i, r in enumerate(known)], "r string, rn int")
-    kb = kb.join(F.broadcast(numbers), "r").select("s", F.col("rn").alias("r"), "o")
-    relations = [i for i, r in enumerate(known) if r in set(relations)]
+    kb = kb.join(numbers, "r").select("s", F.col("rn").alias("r"), "o")
+    chosen = set(relations)
     edges = kb.select((2 * F.col("r")).alias("l"), F.col("s").alias("a"), F.col("o").alias("b")).unionAll(kb.select(2 * F.col("r") + 1, F.col("o"), F.col("s")))
     degree = edges.groupBy("a").agg(F.count("*").alias("deg"))
     pairs = edges.groupBy("a", "b").agg(F.collect_set("l").alias("ls"))
-    heads = kb.filter(F.col("r").isin(*relations)).groupBy(F.col("s").alias("x"), F.col("o").alias("y")).agg(F.collect_set("r").alias("heads"))
+    heads = kb.filter(F.col("r").isin(*[i for i, r in enumerate(known) if r in chosen])).groupBy(F.col("s").alias("x"), F.col("o").alias("y")).agg(F.collect_set("r").alias("heads"))
     sized = heads.join(degree.select(F.col("a").alias("x"), F.col("deg").alias("dx")), "x").join(degree.select(F.col("a").alias("y"), F.col("deg").alias("dy")), "y")
     near = lambda c, out: pairs.select(F.col("a").alias(c), F.col("b").alias("z"), F.col("ls").alias(out))
     parts = []
     for first, second, keep in (("x", "y", F.col("dx") <= F.col("dy")), ("y", "x", F.col("dx") > F.col("dy"))):
         rows = sized.filter(keep).join(near(first, f"l{first}"), first).join(near(second, f"l{second}"), [second, "z"])
         parts.append(rows.select("x", "y", "heads", "lx", "ly"))
-    rows = parts[0].unionAll(parts[1]).select("x", "y", "heads", F.explode("lx").alias("lx"), "ly").select("x", "y", "heads", "lx", F.explode("ly").alias("ly"))
+    return parts[0].unionAll(parts[1])
+
+
+def triangle_counts(kb: DataFrame, relations: Sequence[str]) -> DataFrame:
+    """``head``, ``lx``, ``ly``, ``n``: for each head relation and pair of labels the head facts (x, y) with an entity z that x reaches by ``lx`` and y by ``ly``."""
+    known = sorted(r["r"] for r in kb.select("r").distinct().collect())  # a row per relation
+    rows = triangles(kb, known, relations).select("x", "y", "heads", F.explode("lx").alias("lx"), "ly").select("x", "y", "heads", "lx", F.explode("ly").alias("ly"))
     hits = rows.groupBy("x", "y", "lx", "ly").agg(F.first("heads").alias("heads")).select(F.explode("heads").alias("head"), "lx", "ly").groupBy("head", "lx", "ly").agg(F.count("*").alias("n"))
     heading = F.element_at(F.array(*map(F.lit, known)), F.col("head") + 1)
     side = F.array(*[F.lit(r + d) for r in known for d in "+-"])
