@@ -246,8 +246,8 @@ def specialised_types(schema: DataFrame, rule: Rule) -> list[Rule]:
 
 
 def path_pca_estimate(rule: Rule, stats: dict[str, tuple[float, float, float, float]], overlap) -> float | None:
-    """PCA confidence of a three-atom path rule from sizes: support over the head's overlapping entities times the fan-outs on the way.
-    ``stats``: functionality, inverse functionality, subjects, objects; ``overlap(r1, side1, r2, side2)``: common entities."""
+    """PCA confidence of a path rule of any length from sizes: support over the head's overlapping entities times the fan-outs on the way, each atom behind the
+    first also times its inverse functionality, for pairs that several entities in between join. ``stats``: functionality, inverse functionality, subjects, objects; ``overlap(r1, side1, r2, side2)``: common entities."""
     from rulespark.plans.terms import canonical_path
 
     path = canonical_path(rule)
@@ -260,9 +260,10 @@ def path_pca_estimate(rule: Rule, stats: dict[str, tuple[float, float, float, fl
         at = a.o if into == "s" else a.s
         sides.append((a.r, into, "o" if into == "s" else "s"))
     pairs = overlap(rule.head.r, "s", sides[0][0], sides[0][1])
-    for (r, into, out), nxt in zip(sides, [*sides[1:], None]):
-        fan = 1 / stats[r][0 if into == "s" else 1]
-        pairs *= fan
+    for k, ((r, into, out), nxt) in enumerate(zip(sides, [*sides[1:], None])):
+        pairs /= stats[r][0 if into == "s" else 1]
+        if k:
+            pairs *= stats[r][1 if into == "s" else 0]
         if nxt:
             size = stats[r][3 if out == "o" else 2]
             pairs *= overlap(r, out, nxt[0], nxt[1]) / size if size else 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -11,7 +12,7 @@ from rulespark.functions.text import ratio
 from rulespark.operators.stats import degrees, summary
 from rulespark.operators.storage import stored
 from rulespark.plans.bgp import compile_query, name
-from rulespark.plans.terms import Atom, Rule, combine, is_variable, native_text, pca_query
+from rulespark.plans.terms import Atom, Rule, is_variable, native_text, pca_query
 
 
 def _facts(rows: DataFrame, head: Atom) -> DataFrame:
@@ -180,16 +181,28 @@ def unlinked(found: DataFrame, kb: DataFrame, link: str = "<linksTo>") -> DataFr
     return found.join(kb.filter(F.col("r") != link).select("s", "o").distinct(), ["s", "o"], "left_anti").select(*found.columns)
 
 
-def joint_confidence(kb: DataFrame, rules: Sequence[Rule]) -> dict[tuple[int, ...], float | None]:
-    """PCA confidence of the combined rule for each set of rules that derives some fact together."""
-    from rulespark.operators.metrics import batch_body_sizes, batch_supports
-
-    sets = all_predictions(kb, rules, known=True).groupBy("s", "r", "o").agg(F.array_sort(F.collect_set("rule")).alias("rules")).select("rules").distinct()
-    keys = [tuple(r["rules"]) for r in sets.toLocalIterator()]
-    joint = [combine([rules[i] for i in k]) for k in keys]
-    joint = [Rule(j.head, j.body, counted=rules[k[0]].counted) for j, k in zip(joint, keys)]
+def joint_counts(kb: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rules`` (sorted numbers), ``support``, ``body_size``, ``pca_body_size`` of the combined rule of each set of rules that derives some fact together. Each derived fact
+    has the set of all its rules; facts are counted by set, and a set's counts are the sums over the sets that contain it. That is a fixed number
+    of jobs, however many rules and sets there are."""
     spark = kb.sparkSession
-    return {k: (s / p if p else None) for k, s, (_, p) in zip(keys, batch_supports(spark, kb, joint), batch_body_sizes(spark, kb, joint))}
+    parts = [body_facts(kb, rule).withColumn("rule", F.lit(i)) for i, rule in enumerate(rules)]
+    facts = reduce(DataFrame.unionAll, parts).groupBy("s", "r", "o").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    known = kb.select("s", "r", "o").distinct().withColumn("hit", F.lit(1))
+    subjects, objects = kb.select("s", "r").distinct().withColumn("in_s", F.lit(1)), kb.select("o", "r").distinct().withColumn("in_o", F.lit(1))
+    rows = facts.join(known, ["s", "r", "o"], "left").join(subjects, ["s", "r"], "left").join(objects, ["o", "r"], "left")
+    sets = stored(rows.groupBy("rules").agg(F.count("hit").alias("support"), F.count("*").alias("n"), F.count("in_s").alias("by_s"), F.count("in_o").alias("by_o"), F.max(F.col("s") != F.col("o")).alias("shown")), "rule-sets")
+    counted = spark.createDataFrame([(i, r.counted == 0) for i, r in enumerate(rules)], "first int, by_subject boolean")  # a row per rule
+    wanted = sets.filter("shown").select("rules", F.element_at("rules", 1).alias("first"))
+    around = sets.select(F.col("rules").alias("larger"), "support", "n", "by_s", "by_o", F.explode("rules").alias("first"))
+    hits = wanted.join(around, "first").filter(F.size(F.array_except("rules", "larger")) == 0).join(counted, "first")
+    pca = F.when(F.col("by_subject"), F.col("by_s")).otherwise(F.col("by_o"))
+    return hits.groupBy("rules").agg(F.sum("support").alias("support"), F.sum("n").alias("body_size"), F.sum(pca).alias("pca_body_size"))
+
+
+def joint_confidence(kb: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rules``, ``support``, ``body_size``, ``pca_body_size``, ``confidence`` (PCA) of the combined rules; see :func:`joint_counts`."""
+    return joint_counts(kb, rules).withColumn("confidence", F.try_divide(F.col("support").cast("double"), F.col("pca_body_size").cast("double")))
 
 
 def cardinality_scores(kb: DataFrame, facts: DataFrame) -> DataFrame:
@@ -203,11 +216,12 @@ def cardinality_scores(kb: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select(*facts.columns, F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
-def iterate(kb: DataFrame, mine, threshold: float, rounds: int = 5) -> DataFrame:
-    """Mine, predict, add facts whose naive confidence is at least the threshold, and again, until nothing is added. ``mine`` gives rules
-    of a knowledge base. Facts with ``p`` (1 for the given ones) and ``iteration``."""
+def iterate(kb: DataFrame, mine, threshold: float, rounds: int | None = None) -> DataFrame:
+    """Mine, predict, add facts whose naive confidence is at least the threshold, and again, until nothing is added or the rounds asked for are over. ``mine``
+    gives rules, of any language, of a knowledge base; :mod:`rulespark.operators.inference` is for rules of two atoms, at the cost of what is new alone.
+    Facts with ``p`` (1 for the given ones) and ``iteration``."""
     known = kb.select("s", "r", "o").withColumn("p", F.lit(1.0)).withColumn("iteration", F.lit(0))
-    for i in range(1, rounds + 1):
+    for i in count(1) if rounds is None else range(1, rounds + 1):
         facts = known.select("s", "r", "o")
         rules = mine(facts)
         if not rules:

@@ -1,4 +1,4 @@
-"""Types and their hierarchy. Closures are loops over a frontier that end where nothing new is reached, so cycles do no harm; each round
+"""Types and their hierarchy. Closures are loops that double the length of paths and end where nothing new is reached, so cycles do no harm; each round
 is written to shared storage."""
 
 from __future__ import annotations
@@ -17,15 +17,19 @@ def load_names(text: str) -> dict[str, str]:
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
-    """``a``, ``b``: b is reached from a in one step or more. ``edges``: ``a``, ``b``."""
-    edges = edges.select("a", "b").distinct()
-    seen = frontier = stored(edges, "closure")
+    """``a``, ``b``: b is reached from a in one step or more. ``edges``: ``a``, ``b``. Paths double: after round k all pairs of less than 2**(k + 1) steps are known, and apart
+    from them those of exactly 2**k, over which the next round goes. So rounds grow with the logarithm of the depth; in a cycle some walk has any number of
+    steps, so the end is where a round finds no new pair."""
+    leap = stored(edges.select("a", "b").distinct(), "closure-leap")  # exactly 2**k steps
+    seen = leap
     while True:
-        step = frontier.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        frontier = stored(step.join(seen, ["a", "b"], "left_anti"), "closure")
-        if frontier.isEmpty():
+        there = leap.withColumnRenamed("b", "mid")
+        over = there.join(seen.withColumnRenamed("a", "mid"), "mid").select("a", "b").distinct()
+        new = stored(over.join(seen, ["a", "b"], "left_anti"), "closure-new")
+        if new.isEmpty():
             return seen
-        seen = seen.union(frontier)
+        seen = stored(seen.unionAll(new), "closure")
+        leap = stored(there.join(leap.withColumnRenamed("a", "mid"), "mid").select("a", "b").distinct(), "closure-leap")
 
 
 def subclass_closure(schema: DataFrame) -> DataFrame:

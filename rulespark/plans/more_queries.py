@@ -616,7 +616,7 @@ def _bounds(spark: SparkSession, d: str) -> DataFrame:
 
 @register("path_estimates", f"""{_KB} st AS (SELECT r, count(*) AS n, count(DISTINCT s) AS a, count(DISTINCT o) AS b FROM kb GROUP BY r), p AS (SELECT * FROM st WHERE r = 'bought'), q AS (SELECT * FROM st WHERE r = 'suppliedBy'),
 x AS (SELECT count(*) AS k FROM (SELECT s FROM kb WHERE r = 'boughtFrom' INTERSECT SELECT s FROM kb WHERE r = 'bought')), y AS (SELECT count(*) AS k FROM (SELECT o FROM kb WHERE r = 'bought' INTERSECT SELECT s FROM kb WHERE r = 'suppliedBy'))
-SELECT round(1000 / (x.k * (p.n::DOUBLE / p.a) * (y.k::DOUBLE / p.b) * (q.n::DOUBLE / q.a)), 9) AS estimate FROM p, q, x, y""")
+SELECT round(1000 / (x.k * (p.n::DOUBLE / p.a) * (y.k::DOUBLE / p.b) * (q.n::DOUBLE / q.a) * (q.b::DOUBLE / q.n)), 9) AS estimate FROM p, q, x, y""")
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
     from dataclasses import replace
 
@@ -787,21 +787,9 @@ def _unlinked(spark: SparkSession, d: str) -> DataFrame:
     return predict.unlinked(found, old, "soldTo")
 
 
-@register("joint_confidence", _KB + _OLD + """ a AS (SELECT DISTINCT b.s AS x, a.o AS y FROM old a JOIN old b ON b.o = a.s WHERE a.r = 'suppliedBy' AND b.r = 'bought'), b AS (SELECT o AS x, s AS y FROM old WHERE r = 'soldTo'), h AS (SELECT s AS x, o AS y FROM old WHERE r = 'boughtFrom'), f AS (SELECT true AS f),
+ORACLES["joint_confidence"] = _KB + _OLD + """ a AS (SELECT DISTINCT b.s AS x, a.o AS y FROM old a JOIN old b ON b.o = a.s WHERE a.r = 'suppliedBy' AND b.r = 'bought'), b AS (SELECT o AS x, s AS y FROM old WHERE r = 'soldTo'), h AS (SELECT s AS x, o AS y FROM old WHERE r = 'boughtFrom'), f AS (SELECT true AS f),
 c AS (SELECT * FROM a SEMI JOIN b USING (x, y)), m AS (SELECT '0' AS rules, * FROM a UNION ALL SELECT '1', * FROM b UNION ALL SELECT '0,1', * FROM c), k AS (SELECT DISTINCT s FROM old WHERE r = 'boughtFrom')
-SELECT rules, round(count(*) FILTER ((x, y) IN (SELECT (x, y) FROM h))::DOUBLE / count(*) FILTER (x IN (SELECT s FROM k)), 9) AS confidence FROM m WHERE rules = '0,1' OR (rules = '0' AND EXISTS (SELECT 1 FROM a ANTI JOIN b USING (x, y))) OR (rules = '1' AND EXISTS (SELECT 1 FROM b ANTI JOIN a USING (x, y))) GROUP BY rules""")
-def _joint_confidence(spark: SparkSession, d: str) -> DataFrame:
-    found = predict.joint_confidence(derived_kb(spark, d, SPLIT), [parse_rule(t) for t in TRAINED[:2]])
-    return _rows(spark, [(",".join(map(str, k)), None if v is None else round(v, 9)) for k, v in found.items()], "rules string, confidence double")
-
-
-@register("iterated_inference", _KB + _DONE + "SELECT s, r, o, 1.0::DOUBLE AS p, 0 AS iteration FROM kb WHERE r IN ('boughtFrom', 'soldTo') UNION ALL (SELECT o, 'boughtFrom', s, 0.75::DOUBLE, 1 FROM kb WHERE r = 'soldTo' EXCEPT SELECT s, r, o, 0.75, 1 FROM kb) UNION ALL (SELECT o, 'soldTo', s, 0.5::DOUBLE, 1 FROM kb WHERE r = 'boughtFrom' EXCEPT SELECT s, r, o, 0.5, 1 FROM kb)")
-def _iterated(spark: SparkSession, d: str) -> DataFrame:
-    rules = [parse_rule("soldTo(?y,?x) => boughtFrom(?x,?y)"), parse_rule("boughtFrom(?y,?x) => soldTo(?x,?y)")]
-    from dataclasses import replace
-
-    known = [replace(r, support=s, pca_body_size=4) for r, s in zip(rules, (3.0, 2.0))]
-    return predict.iterate(derived_kb(spark, d).filter("r in ('boughtFrom', 'soldTo')"), lambda facts: known, 0.5)
+SELECT rules, round(count(*) FILTER ((x, y) IN (SELECT (x, y) FROM h))::DOUBLE / count(*) FILTER (x IN (SELECT s FROM k)), 9) AS confidence FROM m WHERE rules = '0,1' OR (rules = '0' AND EXISTS (SELECT 1 FROM a ANTI JOIN b USING (x, y))) OR (rules = '1' AND EXISTS (SELECT 1 FROM b ANTI JOIN a USING (x, y))) GROUP BY rules"""
 
 
 _P = " p AS (SELECT *, 0.5 + ((ascii(md5(s || r || o)) + ascii(substr(md5(s || r || o), 2, 1))) % 50) / 100.0::DOUBLE AS p FROM kb),"
@@ -828,9 +816,3 @@ def _gain(spark: SparkSession, d: str) -> DataFrame:
 def _legacy(spark: SparkSession, d: str) -> DataFrame:
     lines = ["Y\tlost/h/fact", "?x  b  ?y  ?x  h  ?y\tKey variable: ?x", "Y\ta/h/c", "N\td/h/e", "?\tf/h/g", "Y\tnot a fact"]
     return _rows(spark, predict.legacy_evaluations(lines), "rule string, s string, r string, o string, verdict string")
-
-
-@register("one_to_one_alignment", ORACLES["align_equivalences"].replace("SELECT x.body AS r1", "SELECT r1, r2, inverse, intersection FROM (SELECT x.body AS r1").rstrip() + ") QUALIFY row_number() OVER (PARTITION BY r1 ORDER BY confidence DESC, jaccard DESC, r1, r2) = 1 AND row_number() OVER (PARTITION BY r2 ORDER BY confidence DESC, jaccard DESC, r1, r2) = 1")
-def _one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    pairs = align.equivalences(align.cross_rules(derived_kb(spark, d), derived_other(spark, d)))
-    return align.one_to_one(pairs).select("r1", "r2", "inverse", "intersection")
