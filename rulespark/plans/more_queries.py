@@ -187,12 +187,12 @@ _simple(
 _simple(
     "difference_4var",
     lambda kb: bgp.difference(kb, ["?x", "?y", "?z", "?w"], _atoms("?x returned ?y;?y suppliedBy ?z;?z inNation ?w"), _atoms("?x inNation ?w")),
-    "SELECT a.s AS x, a.o AS y, b.o AS z, c.o AS w FROM kb a JOIN kb b ON a.o = b.s AND b.r = 'suppliedBy' JOIN kb c ON c.s = b.o AND c.r = 'inNation' ANTI JOIN kb d ON d.s = a.s AND d.r = 'inNation' AND d.o = c.o WHERE a.r = 'returned'",
+    "SELECT a.s AS x, a.o AS y, b.o AS z, c.o AS w FROM (SELECT * FROM kb WHERE r = 'returned') a JOIN (SELECT * FROM kb WHERE r = 'suppliedBy') b ON a.o = b.s JOIN (SELECT * FROM kb WHERE r = 'inNation') c ON c.s = b.o ANTI JOIN (SELECT s, o FROM kb WHERE r = 'inNation') d ON d.s = a.s AND d.o = c.o",
 )
 _simple(
     "difference_4var_no_common",
     lambda kb: bgp.difference_no_vars_in_common(kb, ["?x", "?y", "?z", "?w"], _atoms("?x returned ?y;?y suppliedBy ?z;?z inNation ?w"), Atom("?x", "did", "?e")),
-    "SELECT a.s AS x, a.o AS y, b.o AS z, c.o AS w FROM kb a JOIN kb b ON a.o = b.s AND b.r = 'suppliedBy' JOIN kb c ON c.s = b.o AND c.r = 'inNation' WHERE a.r = 'returned' AND a.s NOT IN (SELECT s FROM kb WHERE r = 'did')",
+    "SELECT a.s AS x, a.o AS y, b.o AS z, c.o AS w FROM (SELECT * FROM kb WHERE r = 'returned') a JOIN (SELECT * FROM kb WHERE r = 'suppliedBy') b ON a.o = b.s JOIN (SELECT * FROM kb WHERE r = 'inNation') c ON c.s = b.o ANTI JOIN (SELECT s FROM kb WHERE r = 'did') d ON d.s = a.s",
 )
 
 
@@ -330,7 +330,7 @@ def _text_functions(spark: SparkSession, d: str) -> DataFrame:
 # --- filters, sets and samples
 
 
-@register("pair_difference", _KB + _DONE + "SELECT s AS c0, 'x' AS c1, o AS c2 FROM kb WHERE r = 'boughtFrom' AND (least(s, o), greatest(s, o)) NOT IN (SELECT (least(s, o), greatest(s, o)) FROM kb WHERE r = 'soldTo')")
+@register("pair_difference", _KB + _DONE + "SELECT a.s AS c0, 'x' AS c1, a.o AS c2 FROM (SELECT s, o, least(s, o) AS lo, greatest(s, o) AS hi FROM kb WHERE r = 'boughtFrom') a ANTI JOIN (SELECT least(s, o) AS lo, greatest(s, o) AS hi FROM kb WHERE r = 'soldTo') b USING (lo, hi)")
 def _pair_difference(spark: SparkSession, d: str) -> DataFrame:
     kb = derived_kb(spark, d)
     cut = lambda r: kb.filter(F.col("r") == r).select(F.col("s").alias("c0"), F.lit("x").alias("c1"), F.col("o").alias("c2"))
@@ -346,14 +346,14 @@ _simple("language_codes", lambda kb: setops.drop_language_codes(kb, "did"), "SEL
 _simple(
     "living_dead",
     lambda kb: setops.drop_living_dead(kb, "sg_BUILDING", "returned", "inSegment"),
-    "SELECT s, r, o FROM kb WHERE NOT (r = 'inSegment' AND o = 'sg_BUILDING' AND s IN (SELECT s FROM kb WHERE r = 'returned'))",
+    "SELECT k.s, k.r, k.o FROM kb k LEFT JOIN (SELECT DISTINCT s FROM kb WHERE r = 'returned') d ON d.s = k.s WHERE k.r <> 'inSegment' OR k.o <> 'sg_BUILDING' OR d.s IS NULL",
 )
 _simple("swapped_facts", setops.swap, "SELECT o AS s, r, s AS o FROM kb")
 _simple("kept_relations", lambda kb: setops.keep_relations(kb, ["inNation", "did"]), "SELECT s, r, o FROM kb WHERE r IN ('inNation', 'did')")
 _simple(
     "substituted_labels",
     lambda kb: setops.substitute(kb, "o", kb.filter("r = 'inRegion'").select(F.col("s").alias("id"), F.col("o").alias("name"))),
-    "SELECT k.s, k.r, coalesce(m.o, k.o) AS o FROM kb k LEFT JOIN kb m ON m.r = 'inRegion' AND m.s = k.o",
+    "SELECT k.s, k.r, coalesce(m.o, k.o) AS o FROM kb k LEFT JOIN (SELECT s, o FROM kb WHERE r = 'inRegion') m ON m.s = k.o",
 )
 _simple(
     "neighbourhood",

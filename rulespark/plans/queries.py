@@ -48,7 +48,7 @@ _SCHEMA_SQL = """
   UNION ALL SELECT 'g' || r_regionkey, 'rdf:type', 'Region' FROM region
   UNION ALL VALUES ('Customer', 'rdfs:subClassOf', 'Party'), ('Supplier', 'rdfs:subClassOf', 'Party'), ('Party', 'rdfs:subClassOf', 'Thing'), ('Thing', 'rdfs:subClassOf', 'Party'),
     ('placedBy', 'rdfs:domain', 'Order'), ('placedBy', 'rdfs:range', 'Customer'), ('boughtFrom', 'rdfs:subPropertyOf', 'dealsWith'), ('dealsWith', 'rdfs:domain', 'Party')"""
-_KB = f"WITH RECURSIVE kb AS ({_kb_sql()}),"
+_KB = f"WITH RECURSIVE kb AS MATERIALIZED ({_kb_sql()}),"
 _OLD = f" oldorders AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT}'), oldlines AS (SELECT lineitem.* FROM lineitem SEMI JOIN oldorders ON l_orderkey = o_orderkey), old AS ({_kb_sql('oldorders', 'oldlines')}),"
 _META = f" meta AS ({_SCHEMA_SQL}),"
 _OTHER = " other AS (SELECT s, '<db:' || r || '>' AS r, o FROM kb WHERE substr(md5(s || r || o), 1, 1) NOT IN ('0', '1', '2')),"
@@ -135,7 +135,7 @@ def _select(name: str, variables: str, atoms: str, sql: str) -> None:
 
 _select("select_1var", "?x", "?x inNation n3", "SELECT DISTINCT s AS x FROM kb WHERE r = 'inNation' AND o = 'n3'")
 _select("select_2var", "?x ?y", "?x returned ?y", "SELECT s AS x, o AS y FROM kb WHERE r = 'returned'")
-_select("select_3var", "?x ?r ?y", "?x ?r ?y; ?y inRegion g1".replace("; ", ";"), "SELECT a.s AS x, a.r AS r, a.o AS y FROM kb a SEMI JOIN (SELECT s FROM kb WHERE r = 'inRegion' AND o = 'g1') b ON a.o = b.s")
+_select("select_3var", "?x ?r ?y", "?x ?r ?y; ?y inRegion g1".replace("; ", ";"), "SELECT a.s AS x, a.r AS r, a.o AS y FROM kb a JOIN (SELECT DISTINCT s FROM kb WHERE r = 'inRegion' AND o = 'g1') b ON a.o = b.s")
 _select("select_path", "?x ?z", "?x returned ?y;?y suppliedBy ?z", "SELECT DISTINCT a.s AS x, b.o AS z FROM kb a JOIN kb b ON a.o = b.s WHERE a.r = 'returned' AND b.r = 'suppliedBy'")
 _select("relation_variable", "?r ?y", "c1 ?r ?x;?x ?q ?y".replace(";", ";"), "SELECT DISTINCT a.r AS r, b.o AS y FROM kb a JOIN kb b ON a.o = b.s WHERE a.s = 'c1'")
 _select("different_from", "?x ?y", "?x inNation ?n;?y inNation ?n;?x soldTo ?y;?x differentFrom ?y", "SELECT DISTINCT c.s AS x, c.o AS y FROM kb c JOIN kb a ON a.s = c.s AND a.r = 'inNation' JOIN kb b ON b.s = c.o AND b.r = 'inNation' AND a.o = b.o WHERE c.r = 'soldTo' AND c.s <> c.o")
@@ -168,7 +168,7 @@ _simple("difference_no_common", lambda kb: bgp.difference_no_vars_in_common(kb,
 _simple(
     "difference_3var",
     lambda kb: bgp.difference(kb, ["?x", "?y", "?z"], _atoms("?x returned ?y;?y suppliedBy ?z"), _atoms("?x boughtFrom ?z")),
-    "SELECT a.s AS x, a.o AS y, b.o AS z FROM kb a JOIN kb b ON a.o = b.s WHERE a.r = 'returned' AND b.r = 'suppliedBy' AND (a.s, b.o) NOT IN (SELECT s, o FROM kb WHERE r = 'boughtFrom')",
+    "SELECT a.s AS x, a.o AS y, b.o AS z FROM (SELECT * FROM kb WHERE r = 'returned') a JOIN (SELECT * FROM kb WHERE r = 'suppliedBy') b ON a.o = b.s ANTI JOIN (SELECT s, o FROM kb WHERE r = 'boughtFrom') d ON d.s = a.s AND d.o = b.o",
 )
 _simple("adhoc_query", lambda kb: bgp.query(kb, "?a,?b", "soldTo(?a,?b) inNation(?a,?n) inNation(?b,?n)"), "SELECT DISTINCT a.s AS a, a.o AS b FROM kb a JOIN kb x ON x.s = a.s AND x.r = 'inNation' JOIN kb y ON y.s = a.o AND y.r = 'inNation' AND y.o = x.o WHERE a.r = 'soldTo'")
 
@@ -326,7 +326,7 @@ def _coalesce(spark: SparkSession, d: str) -> DataFrame:
     return setops.coalesce(derived_kb(spark, d, SPLIT), derived_other(spark, d))
 
 
-_simple("entity_filter", lambda kb: setops.entity_filter(kb, kb.filter("r = 'inNation' and o = 'n3'").select(F.col("s").alias("e"))), "SELECT s, r, o FROM kb WHERE s IN (SELECT s FROM kb WHERE r = 'inNation' AND o = 'n3')")
+_simple("entity_filter", lambda kb: setops.entity_filter(kb, kb.filter("r = 'inNation' and o = 'n3'").select(F.col("s").alias("e"))), "SELECT s, r, o FROM kb SEMI JOIN (SELECT s FROM kb WHERE r = 'inNation' AND o = 'n3') e USING (s)")
 _simple("facts_filter", lambda kb: setops.facts_filter(kb, kb.filter("r = 'returned'"), with_objects=True), "SELECT s, r, o FROM kb WHERE s IN (SELECT s FROM kb WHERE r = 'returned' UNION SELECT o FROM kb WHERE r = 'returned')")
 _simple("relation_filter", lambda kb: setops.drop_relations(kb, ["hasPart", "hasSupplier"]), "SELECT s, r, o FROM kb WHERE r NOT IN ('hasPart', 'hasSupplier')")
 _simple("small_relation_filter", lambda kb: setops.drop_small_relations(kb, 10000), "SELECT s, r, o FROM kb WHERE r IN (SELECT r FROM kb GROUP BY r HAVING count(*) >= 10000)")
