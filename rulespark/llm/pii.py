@@ -256,9 +256,9 @@ class Potentials:
     skip: np.ndarray
 
 
-def beliefs(g: Graph, p: Potentials, close: float = 1e-3) -> np.ndarray:
+def beliefs(g: Graph, p: Potentials, rounds: int = 1000, close: float = 1e-6) -> np.ndarray:
     """Sum-product on the graph, all messages at once, with damping, until none moves by more than ``close``; loops that never settle are
-    read off after a thousand rounds."""
+    read off after so many rounds."""
     n, c = len(g.spans), len(CLASSES)
     unary = np.array([p.node[f].sum(0) for f in g.features])
     seen = g.observed >= 0
@@ -273,7 +273,7 @@ def beliefs(g: Graph, p: Potentials, close: float = 1e-3) -> np.ndarray:
         both[len(pairs) :] = both[len(pairs) :].transpose(0, 2, 1)
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         msg = np.zeros((len(src), c))
-        for _ in range(1000):
+        for _ in range(rounds):
             total = unary.copy()
             np.add.at(total, dst, msg)
             out = total[src] - msg[back]
