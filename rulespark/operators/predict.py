@@ -200,9 +200,9 @@ def joint_counts(kb: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return hits.groupBy("rules").agg(F.sum("support").alias("support"), F.sum("n").alias("body_size"), F.sum(pca).alias("pca_body_size"))
 
 
-def joint_confidence(kb: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``rules``, ``support``, ``body_size``, ``pca_body_size``, ``confidence`` (PCA) of the combined rules; see :func:`joint_counts`."""
-    return joint_counts(kb, rules).withColumn("confidence", F.try_divide(F.col("support").cast("double"), F.col("pca_body_size").cast("double")))
+def joint_confidence(kb: DataFrame, rules: Sequence[Rule]) -> dict[tuple[int, ...], float | None]:
+    """PCA confidence of the combined rule for each set of rules that derives some fact together; a row per set comes to the driver. See :func:`joint_counts`."""
+    return {tuple(r["rules"]): (r["support"] / r["pca_body_size"] if r["pca_body_size"] else None) for r in joint_counts(kb, rules).collect()}
 
 
 def cardinality_scores(kb: DataFrame, facts: DataFrame) -> DataFrame:

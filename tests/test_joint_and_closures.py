@@ -19,7 +19,7 @@ def test_joint_confidence_of_many_rules(spark):
     kb = spark.createDataFrame(facts(1), "s string, r string, o string")
     texts = [f"{a}(?x,?z) {b}({'?z,?y' if k else '?y,?z'}) => t(?x,?y)" for k, (a, b) in enumerate([(a, b) for a in "pqr" for b in "pqr"] * 2)]
     rules = [parse_rule(t) for t in dict.fromkeys(texts)] + [parse_rule("p(?x,?y) => t(?x,?y)"), parse_rule("q(?y,?x) => r(?x,?y)")]
-    got = {tuple(r["rules"]): (r["support"], r["body_size"], r["pca_body_size"]) for r in predict.joint_confidence(kb, rules).collect()}
+    got = {tuple(r["rules"]): (r["support"], r["body_size"], r["pca_body_size"]) for r in predict.joint_counts(kb, rules).collect()}
     sets = {}
     for i, rule in enumerate(rules):
         for f in map(tuple, predict.body_facts(kb, rule).collect()):

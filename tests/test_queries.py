@@ -9,7 +9,9 @@ import __spark_entry__
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHOSEN = ["kb_size", "overlap_so", "cumulative_histogram", "not_exists_relation_variable", "cardinality_lt", "difference_3var", "rule_metrics", "mine_2atom_rules", "rule_hits", "type_closure", "kb_delta", "align_equivalences"]
-CHOSEN += ["mine_closed_rules_skyline", "triangle_supports", "mine_one_variable", "mine_constants", "tsv_facts", "ntriples_renamed", "stream_append", "completeness_rules", "joint_confidence", "lifted_types", "evaluation_verdicts", "redundant_rules", "typed_heads", "index_load"]
+CHOSEN += ["mine_closed_rules_skyline", "triangle_supports", "mine_one_variable", "mine_constants", "tsv_facts", "ntriples_renamed", "stream_append", "completeness_rules", "joint_confidence", "lifted_types", "evaluation_verdicts", "typed_heads", "index_load"]
+
+CHOSEN += ["iterated_inference", "conditional_minimal_keys", "path_bodies_5atoms", "joint_rules_20", "one_to_one_alignment", "square_supports"]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
